@@ -39,7 +39,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("event_type").alias("symbol"),
         F.concat(F.lit("v"), (F.col("user_id") % 4).cast("string")).alias("venue"),
-        "ts", F.col("event_id").alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
         (F.lit(100.0) + F.col("value")).alias("price"),
         (F.lit(1.0) + F.get_json_object("props", "$.k").cast("double")).alias("volume"),
         F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"),
