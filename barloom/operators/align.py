@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import half_up, safe_div
-from ..plans.blocks import Series, framed, tail, time_series
-from ..plans.rank import ranked, with_row
+from ..plans.blocks import Series, framed, time_series
+from ..plans.rank import with_row
 from ..sources.views import BAR_SERIES
 
 TS_SERIES = time_series(("_all",), ("ts",), bucket_seconds=365 * 86_400)
@@ -191,7 +191,7 @@ def correlation_regime(pairs: DataFrame, series: Series, window: int = 20, max_s
     c = F.coalesce(F.corr("_ra", "_rb").over(fr.rows(-(window - 1))), F.lit(0.0))
     fr = fr.with_columns(corr=F.when(F.col("_rn") > window, half_up(c, 2)))
     prev = F.lag("corr").over(fr.w)
-    fr = fr.with_columns(flip=F.when(((prev > 0) & (F.col("corr") < 0)) | ((prev < 0) & (F.col("corr") > 0)), 1)
+    fr = fr.with_columns(flip=F.when(((prev >= 0) & (F.col("corr") < 0)) | ((prev < 0) & (F.col("corr") >= 0)), 1)
                          .otherwise(0))
     rows = fr.body(keep_rn=True).filter("corr is not null")
     o = F.struct(*series.order)
@@ -236,7 +236,7 @@ def correlation_clusters(rets: DataFrame, threshold: float = 0.8, blocks: int =
     score = F.when(F.col("n_pairs") == 0, 0.0).otherwise(
         F.least(F.lit(100.0), half_up(F.col("n_high") * 100 / F.col("n_pairs"), 0)))
     return g.withColumn("risk_score", score).withColumn(
-        "status", F.when(score > 60, "HIGH_RISK").when(score > 30, "MODERATE").otherwise("OK"))
+        "status", F.when(score > 60, "HIGH_RISK").when(score > 30, "MODERATE").otherwise("DIVERSIFIED"))
 
 
 def lead_lag(panel: DataFrame, max_lag: int = 10, venue: str = "venue") -> DataFrame:
