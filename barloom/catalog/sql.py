@@ -39,7 +39,7 @@ _FILLS = """fills AS (
 _POS = """positions AS (SELECT c_nationkey AS account, c_mktsegment AS symbol, sum(c_acctbal) AS qty,
   count(*) AS n_accounts, avg(c_acctbal) AS avg_balance FROM customer GROUP BY 1,2)"""
 _CHARS = """chars AS (SELECT p_brand AS symbol, sum(p_retailprice) AS market_cap, avg(p_size) AS book_to_market,
-  avg(length(p_name)) AS profitability, avg(p_retailprice/(1+p_size)) AS investment, max(p_type) AS sector
+  avg(length(p_name)) AS profitability, avg(p_retailprice/(1+p_size)) AS investment, 'S' || (count(*) % 3) AS sector
   FROM part GROUP BY 1)"""
 
 _ALL = {"bars": [_BARS], "rets": [_BARS, _RETS], "ticks": [_TICKS], "quotes": [_TICKS, _QUOTES],
