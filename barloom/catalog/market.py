@@ -110,7 +110,7 @@ query("triangular_arb", "ts path sides venues net_profit:8",
 ROUTE = """rt AS (SELECT *, first(eff) OVER (PARTITION BY symbol, ts ORDER BY eff DESC, venue DESC) AS w FROM (SELECT *, greatest(0, least(q,
    150-coalesce(sum(q) OVER (PARTITION BY symbol, ts ORDER BY eff, venue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))
    AS fill FROM (SELECT *, ask*(1+fee) AS eff, coalesce(ask_qty, 0) AS q FROM quotes)))"""
-query("smart_route", "symbol ts n_venues filled:4 total_cost:9 avg_price:7 total_fees:9 savings:9",
+query("smart_route", "symbol ts n_venues filled:4 total_cost:9 total_fees:9 savings:9",
       """SELECT *, total_cost/filled AS avg_price, abs(filled*w-total_cost) AS savings FROM (SELECT symbol, ts, count(*) AS n_venues,
          sum(fill) AS filled, sum(fill*ask*(1+fee)) AS total_cost, sum(fill*ask*fee) AS total_fees, max(w) AS w FROM rt
          WHERE fill>0 GROUP BY 1,2)""", ctes("quotes", more=ROUTE))(

@@ -1,6 +1,6 @@
 """Recurrences: EMA family, Wilder smoothing, EWMA and GARCH variance, Kalman hedge, Hurst.
 
-Linear ones are prefix sums inside blocks (:meth:`Frame.ewm`); the Kalman filter
+Linear ones are prefix sums inside blocks (:meth:`Frame.recur`); the Kalman filter
 composes per-block maps, so no series is ever walked by one task from end to end.
 """
 
@@ -13,90 +13,88 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clamp, safe_div
-from ..plans.blocks import (Frame, Series, ema_lookback, ewm_span, framed, tail, time_series,
+from ..plans.blocks import (Frame, Recurrence, Series, ema_lookback, ewm_span, framed, tail, time_series,
                             wilder_lookback)
 from ..plans.rank import linear_percentiles
 from ..sources.views import BAR_SERIES
 from .indicators import add_true_range, full
 
 
-def add_ema(fr: Frame, x: str, p: int, name: str, start: int = 1) -> Frame:
+def ema_rec(fr: Frame, x: str, p: int, name: str, start: int = 1) -> Recurrence:
     """EMA seeded by the mean of the first p values (from position ``start``)."""
-    first = start + p - 1
-    rn = F.col("_rn")
+    first, rn = start + p - 1, F.col("_rn")
     b = F.when(rn == first, F.avg(x).over(fr.rows(-(p - 1)))).when(rn > first, F.col(x) * 2 / (p + 1))
-    fr = fr.with_columns(_b=b).ewm(name, F.col("_b"), (p - 1) / (p + 1))
-    return Frame(fr.df.withColumn(name, F.when(rn >= first, F.col(name))).drop("_b"), fr.series, fr.carries)
+    return Recurrence(name, b, (p - 1) / (p + 1), first)
+
+
+def wilder_rec(fr: Frame, x: str, p: int, name: str, mean: bool) -> Recurrence:
+    """Wilder average (or sum) of column ``x``, which starts at row 2, seeded by its first p values."""
+    first, rn, win = p + 1, F.col("_rn"), fr.rows(-(p - 1))
+    seed = F.avg(x).over(win) if mean else F.sum(x).over(win)
+    b = F.when(rn == first, seed).when(rn > first, F.col(x) / p if mean else F.col(x))
+    return Recurrence(name, b, (p - 1) / p, first)
+
+
+def add_smoothed(fr: Frame, emas: dict[str, int] | None = None, macd: tuple[int, int, int] | None = None,
+                 rsi: int | None = None, adx: int | None = None) -> Frame:
+    """Any mix of EMAs of the close, MACD, RSI and ADX; all first-level recurrences share two windows."""
+    w, pre, recs = fr.w, {}, []
+    if rsi:
+        chg = F.col("close") - F.lag("close").over(w)
+        pre |= {"_up_chg": F.greatest(chg, F.when(chg.isNotNull(), 0.0)), "_dn_chg": F.greatest(-chg, F.when(chg.isNotNull(), 0.0))}
+    if adx:
+        fr = add_true_range(fr)
+        up, dn = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
+        pre |= {"_up": F.when(up > dn, F.greatest(up, F.lit(0.0))).when(up.isNotNull(), 0.0),
+                "_dn": F.when(dn > up, F.greatest(dn, F.lit(0.0))).when(dn.isNotNull(), 0.0)}
+    fr = fr.with_columns(**pre)
+    recs += [ema_rec(fr, "close", p, name) for name, p in (emas or {}).items()]
+    if macd:
+        recs += [ema_rec(fr, "close", macd[0], "_fast"), ema_rec(fr, "close", macd[1], "_slow")]
+    if rsi:
+        recs += [wilder_rec(fr, "_up_chg", rsi, "_gain", True), wilder_rec(fr, "_dn_chg", rsi, "_loss", True)]
+    if adx:
+        recs += [wilder_rec(fr, src, adx, name, False) for src, name in (("tr", "_str"), ("_up", "_sup"), ("_dn", "_sdn"))]
+    fr = fr.recur(*recs)
+    post = {}
+    if rsi:
+        g, l = F.col("_gain"), F.col("_loss")
+        # a loss average that has decayed to nothing is a zero loss
+        post["rsi"] = F.when(l <= 0, 100.0).when(l > 0, 100 - 100 / (1 + g / l))
+    if macd:
+        post["macd"] = F.col("_fast") - F.col("_slow")
+    if adx:
+        post |= {"plus_di": safe_div(F.col("_sup") * 100, F.col("_str"), 0.0), "minus_di": safe_div(F.col("_sdn") * 100, F.col("_str"), 0.0)}
+    fr = fr.with_columns(**post).drop("_up_chg", "_dn_chg", "_gain", "_loss", "_fast", "_slow", "_up", "_dn", "_str", "_sup", "_sdn")
+    if adx:
+        total = F.col("plus_di") + F.col("minus_di")
+        fr = fr.with_columns(dx=safe_div(F.abs(F.col("plus_di") - F.col("minus_di")) * 100, total, 0.0))
+        fr = fr.with_columns(adx=full(fr, F.avg("dx").over(fr.rows(-(adx - 1))), adx, start=adx + 1)).drop("tr")
+    if macd:
+        fr = fr.recur(ema_rec(fr, "macd", macd[2], "macd_signal", start=macd[1]))
+        fr = fr.with_columns(macd_hist=F.col("macd") - F.col("macd_signal"))
+    return fr
 
 
 def ema(df: DataFrame, *periods: int, x: str = "close", series: Series = BAR_SERIES,
         block_rows: int | None = None) -> DataFrame:
     fr = framed(df, series, lookback=max(ema_lookback(p) for p in periods), block_rows=block_rows)
-    for p in periods:
-        fr = add_ema(fr, x, p, f"ema_{p}")
-    return fr.body()
-
-
-def add_macd(fr: Frame, fast: int = 12, slow: int = 26, signal: int = 9) -> Frame:
-    fr = add_ema(add_ema(fr, "close", fast, "_fast"), "close", slow, "_slow")
-    fr = fr.with_columns(macd=F.col("_fast") - F.col("_slow"))
-    fr = add_ema(fr, "macd", signal, "macd_signal", start=slow)
-    fr = fr.with_columns(macd_hist=F.col("macd") - F.col("macd_signal"))
-    return Frame(fr.df.drop("_fast", "_slow"), fr.series, fr.carries)
+    return fr.recur(*[ema_rec(fr, x, p, f"ema_{p}") for p in periods]).body()
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, series: Series = BAR_SERIES,
          block_rows: int | None = None) -> DataFrame:
     fr = framed(bars, series, lookback=ema_lookback(slow, signal), block_rows=block_rows)
-    return add_macd(fr, fast, slow, signal).body()
-
-
-def _wilder(fr: Frame, x: Column, p: int, name: str, mean: bool) -> Frame:
-    """Wilder average (or sum) of ``x``, defined from row 2, seeded by its first p values."""
-    first, rn = p + 1, F.col("_rn")
-    fr = fr.with_columns(_x=x)
-    win = fr.rows(-(p - 1))
-    seed = F.avg("_x").over(win) if mean else F.sum("_x").over(win)
-    b = F.when(rn == first, seed).when(rn > first, F.col("_x") / p if mean else F.col("_x"))
-    fr = fr.with_columns(_b=b).ewm(name, F.col("_b"), (p - 1) / p)
-    return Frame(fr.df.withColumn(name, F.when(rn >= first, F.col(name))).drop("_b", "_x"),
-                 fr.series, fr.carries)
-
-
-def add_rsi(fr: Frame, p: int = 14, name: str = "rsi") -> Frame:
-    change = F.col("close") - F.lag("close").over(fr.w)
-    fr = fr.with_columns(_chg=change)
-    fr = _wilder(fr, F.greatest(F.col("_chg"), F.lit(0.0)), p, "_gain", True)
-    fr = _wilder(fr, F.greatest(-F.col("_chg"), F.lit(0.0)), p, "_loss", True)
-    g, l = F.col("_gain"), F.col("_loss")
-    value = F.when(l <= 0, 100.0).when(l > 0, 100 - 100 / (1 + g / l))
-    fr = fr.with_columns(**{name: value})
-    return Frame(fr.df.drop("_chg", "_gain", "_loss"), fr.series, fr.carries)
+    return add_smoothed(fr, macd=(fast, slow, signal)).body()
 
 
 def rsi(bars: DataFrame, p: int = 14, series: Series = BAR_SERIES, block_rows: int | None = None) -> DataFrame:
-    return add_rsi(framed(bars, series, lookback=wilder_lookback(p), block_rows=block_rows), p).body()
-
-
-def add_adx(fr: Frame, p: int = 14) -> Frame:
-    """Directional indices and their smoothed strength; 0 instead of a zero division."""
-    fr = add_true_range(fr)
-    up = F.col("high") - F.lag("high").over(fr.w)
-    dn = F.lag("low").over(fr.w) - F.col("low")
-    fr = fr.with_columns(_up=F.when(up > dn, F.greatest(up, F.lit(0.0))).when(up.isNotNull(), 0.0),
-                         _dn=F.when(dn > up, F.greatest(dn, F.lit(0.0))).when(dn.isNotNull(), 0.0))
-    for src, name in (("tr", "_str"), ("_up", "_sup"), ("_dn", "_sdn")):
-        fr = _wilder(fr, F.col(src), p, name, False)
-    fr = fr.with_columns(plus_di=safe_div(F.col("_sup") * 100, F.col("_str"), 0.0),
-                         minus_di=safe_div(F.col("_sdn") * 100, F.col("_str"), 0.0))
-    total = F.col("plus_di") + F.col("minus_di")
-    fr = fr.with_columns(dx=safe_div(F.abs(F.col("plus_di") - F.col("minus_di")) * 100, total, 0.0))
-    fr = fr.with_columns(adx=full(fr, F.avg("dx").over(fr.rows(-(p - 1))), p, start=p + 1))
-    return Frame(fr.df.drop("_up", "_dn", "_str", "_sup", "_sdn", "tr"), fr.series, fr.carries)
+    return add_smoothed(framed(bars, series, lookback=wilder_lookback(p), block_rows=block_rows), rsi=p).body()
 
 
 def adx(bars: DataFrame, p: int = 14, series: Series = BAR_SERIES, block_rows: int | None = None) -> DataFrame:
-    return add_adx(framed(bars, series, lookback=wilder_lookback(p) + p, block_rows=block_rows), p).body()
+    """Directional indices and their smoothed strength; 0 instead of a zero division."""
+    return add_smoothed(framed(bars, series, lookback=wilder_lookback(p) + p, block_rows=block_rows), adx=p).body()
 
 
 def ewma_vol(rets: DataFrame, lam: float = 0.94, span: int | None = None, series: Series = BAR_SERIES,
@@ -105,7 +103,7 @@ def ewma_vol(rets: DataFrame, lam: float = 0.94, span: int | None = None, series
     lam = 1 - 2 / (span + 1) if span else lam
     fr = framed(rets, series, lookback=2 * ewm_span(lam), block_rows=block_rows)
     r2 = F.col("ret") * F.col("ret")
-    fr = fr.ewm("_var", F.when(F.col("_rn") == 1, r2).otherwise((1 - lam) * r2), lam)
+    fr = fr.recur(Recurrence("_var", F.when(F.col("_rn") == 1, r2).otherwise((1 - lam) * r2), lam))
     return fr.with_columns(ewma_vol=F.sqrt("_var")).body().drop("_var")
 
 

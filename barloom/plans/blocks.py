@@ -59,6 +59,16 @@ def value_series(key, value: str, ties=()) -> Series:
     return Series(tuple(key), (value, *ties), value_bucket(F.col(value)))
 
 
+@dataclass(frozen=True, eq=False)
+class Recurrence:
+    """``y_t = decay * y_(t-1) + b_t``; null ``b`` adds nothing, ``y`` is null before row ``first``."""
+
+    name: str
+    b: Column
+    decay: float
+    first: int = 1
+
+
 @dataclass(frozen=True)
 class Frame:
     """Rows laid out in blocks, with the window that belongs to them."""
@@ -79,10 +89,11 @@ class Frame:
         return self.w.rowsBetween(lo, hi)
 
     def with_columns(self, **cols: Column) -> "Frame":
-        df = self.df
-        for name, col in cols.items():
-            df = df.withColumn(name, col)
-        return Frame(df, self.series, self.carries)
+        """Add columns in one projection, so windows of one spec share one operator."""
+        return Frame(self.df.withColumns(cols), self.series, self.carries)
+
+    def drop(self, *names: str) -> "Frame":
+        return Frame(self.df.drop(*names), self.series, self.carries)
 
     def running(self, name: str, kind: str, expr: Column, inclusive: bool = True) -> Column:
         """Running aggregate from the start of the series (``name`` was carried)."""
@@ -99,26 +110,34 @@ class Frame:
             return F.coalesce(F.last(own, ignorenulls=True).over(span), carry)
         raise ValueError(kind)
 
-    def ewm(self, name: str, b: Column, decay: float) -> "Frame":
-        """``y_t = decay * y_(t-1) + b_t`` as prefix sums, null ``b`` adding nothing.
+    def recur(self, *recs: "Recurrence") -> "Frame":
+        """Solve ``y_t = decay * y_(t-1) + b_t`` for many recurrences with two windows in all.
 
-        The scaled sum restarts every ``span`` rows, where decay**span < 1e-18,
-        so powers stay in range and only the previous restart still matters.
-        The frame must have been built with a lookback of ``2 * span``.
+        A scaled prefix sum restarts every ``span`` rows, where the slowest decay
+        has fallen below 1e-18, so powers stay in range and only the previous
+        restart still matters. The frame needs a lookback of ``2 * span`` rows.
         """
-        span = ewm_span(decay)
+        if not recs:
+            return self
+        span = max(ewm_span(r.decay) for r in recs)
+        if max(-math.log(r.decay) for r in recs) * span > 600:
+            slow = [r for r in recs if -math.log(r.decay) * span <= 600]
+            return self.recur(*slow).recur(*[r for r in recs if r not in slow])
         pos = (F.col("_rn") - 1) % span
         sub = Window.partitionBy(*self.parts, "_sub").orderBy("_rn").rowsBetween(
             Window.unboundedPreceding, 0)
-        df = self.df.withColumn("_sub", F.floor((F.col("_rn") - 1) / span))
-        df = df.withColumn(
-            "_loc", F.pow(F.lit(decay), pos)
-            * F.coalesce(F.sum(b * F.pow(F.lit(decay), -pos)).over(sub), F.lit(0.0)))
-        prev = F.last(F.when(pos == span - 1, F.col("_loc")), ignorenulls=True).over(
-            self.w.rowsBetween(Window.unboundedPreceding, -1))
-        df = df.withColumn(
-            name, F.col("_loc") + F.pow(F.lit(decay), pos + 1) * F.coalesce(prev, F.lit(0.0)))
-        return Frame(df.drop("_sub", "_loc"), self.series, self.carries)
+        past = self.w.rowsBetween(Window.unboundedPreceding, -1)
+        df = self.df.withColumns({"_sub": F.floor((F.col("_rn") - 1) / span),
+                                  **{f"_b_{r.name}": r.b for r in recs}})
+        df = df.withColumns({
+            f"_l_{r.name}": F.pow(F.lit(r.decay), pos) * F.coalesce(
+                F.sum(F.col(f"_b_{r.name}") * F.pow(F.lit(r.decay), -pos)).over(sub), F.lit(0.0)) for r in recs})
+        last = {r.name: F.last(F.when(pos == span - 1, F.col(f"_l_{r.name}")), ignorenulls=True).over(past) for r in recs}
+        df = df.withColumns({
+            r.name: F.when(F.col("_rn") >= r.first, F.col(f"_l_{r.name}") + F.pow(F.lit(r.decay), pos + 1)
+                           * F.coalesce(last[r.name], F.lit(0.0))) for r in recs})
+        df = df.drop("_sub", *[f"_{x}_{r.name}" for x in "bl" for r in recs])
+        return Frame(df, self.series, self.carries)
 
     def body(self, keep_rn: bool = False) -> DataFrame:
         """Drop halo rows and helper columns."""
