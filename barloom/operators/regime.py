@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, half_up, safe_div
 from ..plans.blocks import Series, framed, wilder_lookback
+from ..plans.lineage import cut
 from ..sources.views import BAR_SERIES
 from .indicators import add_atr, add_bollinger, sma_col
 from .recurrent import add_smoothed
@@ -76,7 +77,7 @@ def features(bars: DataFrame, series: Series = BAR_SERIES) -> DataFrame:
     keep = [*series.key, *series.order, "close", "atr", "adx", "rsi", "bb_width", "ret", "step", "cross", "trend", "adx_trend",
             "vs_sma50", "vs_sma200", "vol_trend", "vol_spike", "squeeze", "release", "higher_highs", "lower_lows", "body_ratio",
             "norm_atr"]
-    rows = fr.body().select(*keep)
+    rows = cut(fr.body().select(*keep))
     r = c("ret")
     run = {"n1": ("sum", F.when(r.isNotNull(), 1).otherwise(0)), "s1": ("sum", r), "s2": ("sum", r * r), "path": ("sum", c("step")),
            "crosses": ("sum", c("cross")), "hi": ("max", c("close")), "lo": ("min", c("close"))}
@@ -86,6 +87,7 @@ def features(bars: DataFrame, series: Series = BAR_SERIES) -> DataFrame:
     fr = fr.with_columns(**{f"x_{k}": fr.running(k, kind, e) for k, (kind, e) in run.items()})
     out = fr.body(keep_rn=True).withColumnsRenamed({"_rn": "rn", "_n": "n"}).join(first, list(series.key))
     n1 = c("x_n1")
+    out = cut(out)
     var = (c("x_s2") - c("x_s1") * c("x_s1") / n1) / (n1 - 1)
     span, net = c("x_hi") - c("x_lo"), F.abs(c("close") - c("first_close"))
     return (out.withColumn("ret_sd", F.when(n1 > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0))

@@ -243,7 +243,7 @@ def pnl_attribution(fills: DataFrame, by: str = "strategy", since=None) -> DataF
 
 def latency_stats(calls: DataFrame, key=("method",), n: int = 1000, series: Series | None = None) -> DataFrame:
     """Per method over its last n samples: mean, range, p50/p95/p99 by nearest rank, error share."""
-    t = tail(calls, series or Series(tuple(key), ("seq",), F.floor(F.col("seq") / 100_000)), n)
+    t = tail(calls, series or Series(tuple(key), ("seq",), lambda: F.floor(F.col("seq") / 100_000)), n)
     by_val = Window.partitionBy(*key).orderBy("duration_ms", "_rn")
     r = t.df.withColumn("_k", F.row_number().over(by_val) - 1)
     at = lambda p: F.max(F.when(F.col("_k") == F.floor(F.col("_n") * p), F.col("duration_ms")))

@@ -99,7 +99,7 @@ def volume_clock(ticks: DataFrame, bucket_ms: int = 60_000, lookback: int = 20,
     us = bucket_ms * 1000
     b = ticks.groupBy(*key, F.floor(F.unix_micros("ts") / us).alias("bucket")).agg(
         F.sum("volume").alias("rate"), F.max(F.unix_micros("ts")).alias("_t"))
-    t = tail(b, Series(tuple(key), ("bucket",), F.floor(F.col("bucket") / 10_000)), lookback).df
+    t = tail(b, Series(tuple(key), ("bucket",), lambda: F.floor(F.col("bucket") / 10_000)), lookback).df
     back = F.col("_n") - F.col("_rn")
     cur = F.max(F.when(back == 0, F.col("rate"))).over(Window.partitionBy(*key))
     t = t.withColumn("_cur", cur)
@@ -197,7 +197,7 @@ def quiet_periods(cells: DataFrame, key=KEY, share: float = 0.25) -> DataFrame:
     s = cells.groupBy(*key, "slot").agg(F.sum("volume").alias("v"))
     s = s.join(s.groupBy(*key).agg(F.avg("v").alias("_m")), key).withColumn(
         "quiet", F.col("v") <= share * F.col("_m"))
-    ser = Series(tuple(key), ("slot",), F.floor(F.col("slot") / 10_000))
+    ser = Series(tuple(key), ("slot",), lambda: F.floor(F.col("slot") / 10_000))
     runs = islands(s, ser, "quiet")
     g = runs.groupBy(*key, "run_id").agg(F.first("quiet").alias("quiet"), F.min("slot").alias("start"),
                                          F.max("slot").alias("_end"))

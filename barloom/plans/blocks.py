@@ -22,6 +22,7 @@ that emits the row h later with ``lag``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,19 +35,22 @@ HELPERS = ("_bkt", "_blk", "_halo", "_rn", "_n", "_base")
 
 @dataclass(frozen=True)
 class Series:
-    """How a table is keyed and ordered. ``bucket`` must be monotone in the order."""
+    """How a table is keyed and ordered. ``bucket()`` must be monotone in the order.
+
+    It is a function because columns can only be made once a session runs.
+    """
 
     key: tuple[str, ...]
     order: tuple[str, ...]
-    bucket: Column
+    bucket: Callable[[], Column]
 
     def with_key(self, *extra: str) -> "Series":
         return Series(self.key + extra, self.order, self.bucket)
 
 
 def time_series(key, order=("ts",), bucket_seconds: int = 3600) -> Series:
-    bucket = F.floor(F.unix_micros(F.col(order[0])) / F.lit(bucket_seconds * 1_000_000))
-    return Series(tuple(key), tuple(order), bucket)
+    return Series(tuple(key), tuple(order), lambda: F.floor(
+        F.unix_micros(F.col(order[0]).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)))
 
 
 def value_bucket(x: Column) -> Column:
@@ -56,7 +60,7 @@ def value_bucket(x: Column) -> Column:
 
 
 def value_series(key, value: str, ties=()) -> Series:
-    return Series(tuple(key), (value, *ties), value_bucket(F.col(value)))
+    return Series(tuple(key), (value, *ties), lambda: value_bucket(F.col(value)))
 
 
 @dataclass(frozen=True, eq=False)
@@ -165,7 +169,7 @@ def framed(df: DataFrame, series: Series, lookback: int = 0,
     carry = carry or {}
     size = max(block_rows or BLOCK_ROWS, lookback, 1)
     key = list(series.key)
-    src = df.withColumn("_bkt", series.bucket)
+    src = df.withColumn("_bkt", series.bucket())
     order = F.struct(*series.order)
 
     def bucket_agg(kind: str, expr: Column) -> Column:
