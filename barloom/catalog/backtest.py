@@ -68,12 +68,12 @@ def sim_cte(key: str = "symbol, strategy") -> str:
   list(ret) FILTER (rn>0) AS rl, max(dd) AS dd, max(du) AS du, count(pnl) AS total_trades, avg(pnl) FILTER (pnl>0) AS aw, avg(pnl) FILTER (pnl<=0) AS al,
   max(pnl) FILTER (pnl>0) AS lw, min(pnl) FILTER (pnl<=0) AS ll, count(*) FILTER (pnl>0) AS nw, sum(pnl) FILTER (pnl>0) AS gp,
   -sum(pnl) FILTER (pnl<0) AS gl, avg(hold) AS h, avg(pnl) AS x FROM sm GROUP BY {key})),
- fig AS MATERIALIZED (SELECT {key}, n_bars, total_trades, tr AS total_return, power(1+tr, 31557600000/(t1-t0))-1 AS annualized_return,
+ fig AS MATERIALIZED (SELECT {key}, n_bars, total_trades, tr AS total_return, power(arg_eq/10000, 31557600000/(t1-t0))-1 AS annualized_return,
   CASE WHEN sd>0 THEN (m-.05/per)/sd*sqrt(per) ELSE 0 END AS sharpe, CASE WHEN coalesce(dn,0)=0 THEN NULL ELSE (m-.05/per)/dn*sqrt(per) END AS sortino,
   dd AS max_drawdown, du AS max_drawdown_ms, CASE WHEN total_trades>0 THEN nw/total_trades ELSE 0 END AS win_rate,
   CASE WHEN total_trades=0 THEN 0 WHEN coalesce(gl,0)=0 THEN NULL ELSE coalesce(gp,0)/gl END AS profit_factor, coalesce(aw,0) AS avg_win,
   coalesce(al,0) AS avg_loss, coalesce(lw,0) AS largest_win, coalesce(ll,0) AS largest_loss, coalesce(h,0) AS avg_holding_ms,
-  CASE WHEN dd>0 THEN (power(1+tr, per/n_bars)-1)/dd ELSE 0 END AS calmar, coalesce(x,0) AS expectancy, arg_eq AS final_equity
+  CASE WHEN dd>0 THEN (power(arg_eq/10000, per/n_bars)-1)/dd ELSE 0 END AS calmar, coalesce(x,0) AS expectancy, arg_eq AS final_equity
   FROM (SELECT *, list_stddev_samp(list_filter(rl, lambda v: v<.05/per)) AS dn FROM mt))"""
 
 

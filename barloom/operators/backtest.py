@@ -264,7 +264,7 @@ def metrics(sim: DataFrame, capital: float = 10_000.0, series: Series = BAR_SERI
     many = n > 1
     annual = F.exp(c("_lg") * c("_per") / n) - 1
     figures = {
-        "total_return": (total, 4), "annualized_return": (F.when(years > 0, F.pow(1 + total, 1 / years) - 1).otherwise(total), 4),
+        "total_return": (total, 4), "annualized_return": (F.when(years > 0, F.exp(c("_lg") / years) - 1).otherwise(total), 4),
         "sharpe": (F.when(many & (c("_sd") > 0), (c("_m") - rf / c("_per")) / c("_sd") * root).otherwise(0.0), 2),
         "sortino": (F.when(~many, 0.0).when(c("_dn") == 0, inf).otherwise((c("_m") - rf / c("_per")) / c("_dn") * root), 2),
         "max_drawdown": (c("_dd"), 4), "max_drawdown_ms": (c("_du"), 0), "win_rate": (F.when(c("total_trades") > 0, c("_nw") / c("total_trades")).otherwise(0.0), 4),
