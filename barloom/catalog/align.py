@@ -82,7 +82,7 @@ query("lead_lag_join", "symbol a b corr:6 lag leader",
         AS rn, count(*) OVER (PARTITION BY symbol)//4 AS n FROM (SELECT *, count(*) OVER (PARTITION BY symbol, ts) AS k
         FROM funding) WHERE k=4)"""))(lambda s, d: A.lead_lag(venue_panel(s, d)))
 
-query("volume_profile", "symbol bin price:2 volume:2 poc value_area",
+query("volume_profile", "symbol bin price:6 volume:2 poc value_area",
       """SELECT symbol, bin, lo+(bin+.5)*sz AS price, v AS volume, r=1 AS poc,
           coalesce(sum(v) OVER (PARTITION BY symbol ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
            < .7*sum(v) OVER (PARTITION BY symbol) AS value_area FROM (

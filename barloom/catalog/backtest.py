@@ -110,7 +110,7 @@ query("optimize", "symbol best sharpe:2 total_trades",
       ctes("rets", more=f"{GRIDS}, {sim_cte()}", recursive=True))(
     lambda s, d: B.optimize(V.bars(s, d), B.grid("sma_crossover", fast=list(FAST), slow=list(SLOW))).withColumn("best", PICK()))
 
-SPLIT = """b1 AS (SELECT symbol, ts, close, CASE WHEN rn<=floor(n*.7+.5) THEN 'in_sample' ELSE 'out_of_sample' END AS segment FROM b0),
+SPLIT = """b1 AS (SELECT symbol, ts, close, CASE WHEN rn<=floor(n*CAST(.7 AS DOUBLE)+.5) THEN 'in_sample' ELSE 'out_of_sample' END AS segment FROM b0),
  b2 AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol, segment) AS n FROM b1 WINDOW w AS (PARTITION BY symbol, segment
    ORDER BY ts)),
  b3 AS (SELECT *, CASE WHEN rn>=10 THEN avg(close) OVER (PARTITION BY symbol, segment ORDER BY ts ROWS 9 PRECEDING) END AS f, CASE WHEN rn>=30 THEN

@@ -56,7 +56,7 @@ def feeds(s, d):
 
 
 FEED = f"""pg AS (SELECT page_id, url, coalesce(title, '') AS title FROM (SELECT *, {_pick('title')} FROM pages)),
- fi AS (SELECT page_id, 's'||(page_id%5) AS source, url, trim(title) AS title, CASE WHEN page_id%2=0 THEN '2024-01-0' ELSE '2024-02-0' END||(page_id%9+1)
+ fi AS (SELECT page_id, 's'||(page_id%5) AS source, regexp_replace(url, '#.*$', '') AS url, trim(title) AS title, CASE WHEN page_id%2=0 THEN '2024-01-0' ELSE '2024-02-0' END||(page_id%9+1)
    AS published_at, 'desk' AS author FROM pg)"""
 query("feed_items", "page_id source url title author published_at", "SELECT * FROM fi", "WITH " + FEED)(
     lambda s, d: G.feed_items(feeds(s, d), 10))

@@ -233,7 +233,7 @@ query("sizing_panel", "order_id strategy kelly_fraction:6 kelly_value:2 fixed_si
         f.select("strategy", F.when(F.col("side") == "sell", F.col("cost")).otherwise(-F.col("cost") * 0.6).alias("pnl")),
         f.select(F.col("id").alias("order_id"), "strategy", F.col("price").alias("entry"), (F.col("price") * 0.9 + F.col("fee") / F.col("amount")).alias("stop")),
         100_000.0))(V.fills(s, d)))
-query("carry_panel", "symbol ts funding_annual:7 carry_pnl:9 carry_annual:9 cash_carry:9 cash_carry_annual:9 hedge_cost_annual:7 net_carry:8 signal best",
+query("carry_panel", "symbol ts funding_annual:11 carry_pnl:9 carry_annual:9 cash_carry:9 cash_carry_annual:9 hedge_cost_annual:11 net_carry:8 signal best",
       """SELECT *, CASE WHEN net_carry>5 THEN 'strong_positive' WHEN net_carry>1 THEN 'positive' WHEN net_carry>-1 THEN 'neutral' WHEN net_carry>-5 THEN 'negative'
          ELSE 'strong_negative' END AS signal, first(symbol) OVER (PARTITION BY ts ORDER BY net_carry DESC, symbol)=symbol AS best FROM (SELECT symbol, ts,
          r*1095 AS funding_annual, f-s+r*90*s-.05*30/365*s AS carry_pnl, ((f-s)/s+r*90-.05*30/365)/(30/365) AS carry_annual,
