@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from check import compare, oracle
 from conftest import SF
 
-SAMPLE = ("cross_sectional_sort", "upsert_bars", "max_drawdown", "tail_ratio", "rolling_beta", "volume_profile", "lead_lag_join", "iceberg",
+SAMPLE = ("cross_sectional_sort", "upsert_bars", "max_drawdown", "tail_ratio", "rolling_beta", "depth_bands", "lead_lag_join", "iceberg",
           "classify_trades_tick", "smart_route", "cascade", "skew_metrics", "contrarian", "page_metadata", "feed_items")
 
 
