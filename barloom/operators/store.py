@@ -70,8 +70,12 @@ def write_bars(df: DataFrame, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("interval", "month").parquet(path))
 
 
+# Partition values are read with this schema: inference would take the interval "1d" for a number.
+STORED_SCHEMA = T.StructType([*BARS_SCHEMA.fields, _f("month", T.StringType())])
+
+
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*BARS_SCHEMA.fieldNames())
+    return spark.read.schema(STORED_SCHEMA).parquet(path).select(*BARS_SCHEMA.fieldNames())
 
 
 def upsert_path(new: DataFrame, path: str, seq: str | None = None) -> None:
@@ -82,7 +86,7 @@ def upsert_path(new: DataFrame, path: str, seq: str | None = None) -> None:
         write_bars(keep_last(new, BAR_PK, [seq] if seq else ["close"]).select(*cols), path)
         return
     parts = new.select("interval", F.date_format("ts", "yyyy-MM").alias("month")).distinct()
-    old = spark.read.parquet(path).join(parts, ["interval", "month"], "left_semi") \
+    old = spark.read.schema(STORED_SCHEMA).parquet(path).join(parts, ["interval", "month"], "left_semi") \
         .select(*BARS_SCHEMA.fieldNames())
     write_bars(cut(upsert_bars(old, new, seq)), path)
 

@@ -85,8 +85,9 @@ def test_store_upsert_is_idempotent(spark, ten):
     new = ten.filter("close > 8").withColumn("close", F.col("close") * 2)
     for _ in range(2):
         ST.upsert_path(new, path)
-    got = {r.ts.day: r.close for r in ST.read_bars(spark, path).collect()}
-    assert len(got) == 10 and got[10] == 20.0 and got[1] == 1.0
+    rows = ST.read_bars(spark, path).collect()
+    got = {r.ts.day: r.close for r in rows}
+    assert len(rows) == len(got) == 10 and {r.interval for r in rows} == {"1d"} and got[10] == 20.0 and got[1] == 1.0
 
 
 def test_sql_guard(spark):
