@@ -162,7 +162,7 @@ query("vol_surface", "underlying expiry n atm_strike:2 atm_iv:6 skew:6 kurtosis:
          AS m, stddev_samp(iv) OVER (PARTITION BY underlying) AS s FROM ch) GROUP BY 1) USING (underlying)""", "WITH " + CH)(
     lambda s, d: D.vol_surface(chain(s, d)))
 query("skew_metrics", "underlying expiry risk_reversal:6 butterfly:6 skew_index:6 put_call_skew:6",
-      """SELECT underlying, expiry, c-p AS risk_reversal, (c+p)/2-a AS butterfly, pi/ci-1 AS skew_index, pi-ci AS put_call_skew FROM (SELECT underlying, expiry,
+      """SELECT underlying, expiry, coalesce(c-p,0) AS risk_reversal, coalesce((c+p)/2-a,0) AS butterfly, coalesce(pi/ci-1,0) AS skew_index, coalesce(pi-ci,0) AS put_call_skew FROM (SELECT underlying, expiry,
          arg_min(iv, ROW(abs(strike-k75), strike, seq)) FILTER (type='call') AS c, arg_min(iv, ROW(abs(strike-k25), strike, seq)) FILTER (type='put') AS p,
          arg_min(iv, ROW(abs(strike-k50), strike, seq)) AS a, avg(iv) FILTER (type='put') AS pi, avg(iv) FILTER (type='call') AS ci FROM ch JOIN (SELECT underlying,
          expiry, list_sort(list(strike))[CAST(floor(count(*)*.25) AS INT)+1] AS k25, list_sort(list(strike))[CAST(floor(count(*)*.5) AS INT)+1] AS k50,
