@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, wavelet
+from barloom.llm import bpe, exact_dedup, sharding, url_filter, wavelet
 from barloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode all documents by the multilingual rank file."""
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                           public_tokenizers.PATTERN)
+
+
+@query("op2_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the largest doc_id stays."""
+    return exact_dedup.classes(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op5_external_shuffle")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shuffled shards with equal row counts, reported from the written files."""
+    return sharding.placement(documents(spark, sf_dir))
+
+
+#: The rules of the filter.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query("op8_url_rules", """
+WITH parts AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')) ELSE '' END AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path
+  FROM pages),
+rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                          ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (
+  SELECT DISTINCT url, first_value(h || p) OVER w AS rule, first_value(v) OVER w AS v FROM parts JOIN rules
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  WINDOW w AS (PARTITION BY url ORDER BY length(h || p) DESC))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN fits ON parts.url IS NOT DISTINCT FROM fits.url
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against the fixed rules; URLs that no rule fits are not listed, hence allowed."""
+    rules = spark.sql("VALUES " + ", ".join(str(r) for r in URL_RULES) + " AS t(host, path, verdict)")
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules)\
+        .select("page_id", "host", "path", "rule", "verdict")
