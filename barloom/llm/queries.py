@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, exact_dedup, sharding, url_filter, wavelet
+from barloom.llm import bpe, exact_dedup, sharding, simhash, url_filter, wavelet
 from barloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("VALUES " + ", ".join(str(r) for r in URL_RULES) + " AS t(host, path, verdict)")
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules)\
         .select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_simhash_pigeonhole")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, links at 4 or fewer differing bits."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
