@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, exact_dedup, sharding, simhash, url_filter, wavelet
+from barloom.llm import bpe, exact_dedup, sharding, simhash, subspace, url_filter, wavelet
 from barloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document, links at 4 or fewer differing bits."""
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op7_subspace_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95."""
+    return subspace.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
