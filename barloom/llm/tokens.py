@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
-
-CACHE_UNITS = 400_000          # newest units a worker keeps, and as many of the generation before
+CACHE_UNITS = 500_000          # newest units a worker keeps, and as many of the generation before
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
+_ASCII_CASES = tuple(c + " " for c in map(chr, range(128)) if c.isspace())
 _UNIT_EDGE = re.compile(r"(?<=\S)(?= )")
-_WORD_AND_TAIL = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:]+)", re.DOTALL)   # letters that stay one letter in lower case
 _WORKER: dict[tuple, "UnitEncoder"] = {}
 
 
@@ -43,52 +41,30 @@ class UnitEncoder:
 
     def __init__(self, encode_units, keep_space: bool):
         self.encode_units, self.keep_space = encode_units, keep_space
-        self.first, self.rest, self.pieces = Generations(), Generations(), Generations()
+        self.first, self.rest = Generations(), Generations()
 
     def _cut(self, text: str) -> list[str]:
-        if self.keep_space and _SPACE_AFTER_SPACE.search(text):
+        if self.keep_space and (any(c in text for c in _ASCII_CASES) if text.isascii() else _SPACE_AFTER_SPACE.search(text)):
             units = _UNIT_EDGE.split(text)
             return units[:1] + [u[1:] for u in units[1:]]
         return text.split(" ")
 
-    def _pieces(self, unit: str, lead: str) -> list[str]:
-        """Parts of a unit that are encoded alike alone: lines, and punctuation behind a letter."""
-        if unit.isalpha():
-            return [lead + unit]
-        lines = unit.split("\n")
-        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-            return [lead + unit]
-        out = []
-        for i, line in enumerate(lines):
-            if i and self.keep_space:
-                out.append("\n")
-            m = _WORD_AND_TAIL.fullmatch(line)
-            head = lead if i == 0 else ""
-            out += [head + m[1], m[2]] if m else [head + line]
-        return out
-
     def _fill(self, known: Generations, wanted: set[str], lead: str) -> None:
-        missing = known.lacking(wanted)
-        if not missing:
-            return
-        parts = {u: self._pieces(u, lead) for u in missing}
-        new = list(self.pieces.lacking({p for ps in parts.values() for p in ps}))
-        self.pieces.new.update(zip(new, self.encode_units(new)))
-        get = self.pieces.new.__getitem__
-        for u, ps in parts.items():
-            known.new[u] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+        missing = list(known.lacking(wanted))
+        if missing:
+            known.new.update(zip(missing, self.encode_units([lead + u for u in missing] if lead else missing)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cuts = [self._cut(t) for t in texts]
-        for known in (self.first, self.rest, self.pieces):
+        for known in (self.first, self.rest):
             known.turn()
         if not self.keep_space:
-            self._fill(self.rest, set(chain.from_iterable(cuts)), "")
+            self._fill(self.rest, set().union(*cuts), "")
             get = self.rest.new.__getitem__
             return [b"".join(map(get, c)) for c in cuts]
         self._fill(self.first, {c[0] for c in cuts}, "")
         rests = [c[1:] for c in cuts]
-        self._fill(self.rest, set(chain.from_iterable(rests)), " ")
+        self._fill(self.rest, set().union(*rests), " ")
         get = self.rest.new.__getitem__
         return [self.first.new[c[0]] + b"".join(map(get, r)) for c, r in zip(cuts, rests)]
 
