@@ -20,48 +20,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import by_size
-from barloom.llm.tokens import UnitEncoder
+from barloom.llm.tokens import Generations, UnitEncoder
 
 
 class RankQueue:
     """Min-queue of (rank, position) for ranks below 64 ** 3."""
 
+    __slots__ = ("buckets", "low", "mid", "top")
+
     def __init__(self):
         self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
+        self.low: dict[int, int] = {}          # only words that are not zero
         self.mid: dict[int, int] = {}
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
+        if rank in self.buckets:
+            self.buckets[rank].append(position)
             return
         self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
+        a = rank >> 6
+        if a in self.low:
+            self.low[a] |= 1 << (rank & 63)
+            return
+        self.low[a] = 1 << (rank & 63)
+        b = rank >> 12
         self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
         self.top |= 1 << b
 
-    def first(self) -> int:
-        """Lowest rank with entries, or -1."""
-        if not self.top:
-            return -1
-        b = (self.top & -self.top).bit_length() - 1
+    def pop(self) -> tuple[int, list[int]]:
+        """The lowest rank and its positions, taken out; (-1, []) when empty."""
+        top = self.top
+        if not top:
+            return -1, []
+        b = (top & -top).bit_length() - 1
         m = self.mid[b]
         a = b << 6 | (m & -m).bit_length() - 1
         w = self.low[a]
-        return a << 6 | (w & -w).bit_length() - 1
-
-    def drop(self, rank: int) -> list[int]:
-        """Take the bucket of ``rank`` out."""
-        a, b = rank >> 6, rank >> 12
-        self.low[a] &= ~(1 << (rank & 63))
-        if not self.low[a]:
-            self.mid[b] &= ~(1 << (a & 63))
-            if not self.mid[b]:
-                self.top &= ~(1 << b)
-        return self.buckets.pop(rank)
+        rank = a << 6 | (w & -w).bit_length() - 1
+        w &= w - 1
+        if w:
+            self.low[a] = w
+        else:
+            del self.low[a]
+            m &= m - 1
+            self.mid[b] = m
+            if not m:
+                self.top = top & (top - 1)
+        return rank, self.buckets.pop(rank)
 
 
 class Ranks:
@@ -91,13 +97,17 @@ class Ranks:
         n = len(tok)
         pairs = self.pairs.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = [pairs(tok[i] << 20 | tok[i + 1], -1) for i in range(n - 1)] + [-1]
+        rank = [pairs(a << 20 | b, -1) for a, b in zip(tok, tok[1:])]
+        rank.append(-1)
         queue = RankQueue()
-        for i in range(n - 1):
-            if rank[i] >= 0:
-                queue.push(rank[i], i)
-        while (r := queue.first()) >= 0:
-            todo = queue.drop(r)
+        push, pop = queue.push, queue.pop
+        for i, r in enumerate(rank):
+            if r >= 0:
+                push(r, i)
+        while True:
+            r, todo = pop()
+            if r < 0:
+                break
             if len(todo) > 1:
                 todo.sort()
             for k, i in enumerate(todo):
@@ -105,33 +115,28 @@ class Ranks:
                     continue
                 j = after[i]
                 nxt = after[j]
-                tok[i], after[i], rank[j] = r, nxt, -2
+                tok[i], after[i], tok[j], rank[j] = r, nxt, -1, -1
                 lowest = r
-                rank[i] = -1
                 if nxt < n:
                     before[nxt] = i
-                    new = pairs(r << 20 | tok[nxt], -1)
-                    rank[i] = new
+                    new = rank[i] = pairs(r << 20 | tok[nxt], -1)
                     if new >= 0:
-                        queue.push(new, i)
-                        lowest = min(lowest, new)
+                        push(new, i)
+                        lowest = new if new < lowest else lowest
+                else:
+                    rank[i] = -1
                 p = before[i]
                 if p >= 0:
-                    new = pairs(tok[p] << 20 | r, -1)
-                    rank[p] = new
+                    new = rank[p] = pairs(tok[p] << 20 | r, -1)
                     if new >= 0:
-                        queue.push(new, p)
-                        lowest = min(lowest, new)
+                        push(new, p)
+                        lowest = new if new < lowest else lowest
                 if lowest < r:                         # a new pair comes first: the rest waits in its bucket
                     for x in todo[k + 1:]:
                         if rank[x] == r:
-                            queue.push(r, x)
+                            push(r, x)
                     break
-        out, i = [], 0
-        while i < n:
-            out.append(tok[i])
-            i = after[i]
-        return out
+        return [t for t in tok if t >= 0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
@@ -148,19 +153,17 @@ def encoder(path: str, pattern: str) -> UnitEncoder:
     import regex
 
     table, find = ranks(path), regex.compile(pattern).findall
-    known: dict[str, bytes] = {}
-
-    def one(word: str) -> bytes:
-        packed = known.get(word)
-        if packed is None:
-            packed = np.array(table.encode(word.encode("utf-8")), dtype="<u4").tobytes()
-            if len(word) < 64:
-                if len(known) > 300_000:
-                    known.clear()
-                known[word] = packed
-        return packed
-
-    return UnitEncoder(lambda units: [b"".join(map(one, find(u))) for u in units], keep_space=True)
+    known = Generations()
+
+    def encode_units(units: list[str]) -> list[bytes]:
+        known.turn()
+        cuts = [find(u) for u in units]
+        for word in known.lacking(set().union(*cuts)):
+            known.new[word] = np.array(table.encode(word.encode("utf-8")), dtype="<u4").tobytes()
+        get = known.new.__getitem__
+        return [b"".join(map(get, c)) for c in cuts]
+
+    return UnitEncoder(encode_units, keep_space=True)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
