@@ -30,8 +30,9 @@ def classes(docs: DataFrame, keep: str = "max", text: str = "text", doc_id: str
     by hash and text.
     """
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    h, body = fresh(docs, "content_hash", "content")
+    h, body, sha = fresh(docs, "content_hash", "content", "content_sha")
     rows = docs.withColumn(body, words_of(F.col(text).cast("string"))).withColumn(h, digest(F.col(body)))
+    rows = rows.withColumn(sha, F.sha2(F.col(body), 256))          # before the join: marks alone then move no text
     stays = F.max(doc_id) if keep == "max" else F.min(doc_id)
     groups = stored(rows.groupBy(h).agg(F.count(F.lit(1)).alias("group_size"), stays.alias("keep_id"),
                                         F.min(body).alias("lo"), F.max(body).alias("hi"))
@@ -43,7 +44,7 @@ def classes(docs: DataFrame, keep: str = "max", text: str = "text", doc_id: str
         exact = mixed.groupBy(h, body).agg(F.count(F.lit(1)).alias("group_size"), stays.alias("keep_id"))
         out = out.unionByName(mixed.join(exact, [h, body]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "keep_id", "group_size",
-                      F.col(doc_id).eqNullSafe(F.col("keep_id")).alias("kept"), F.sha2(F.col(body), 256).alias("text_sha256"))
+                      F.col(doc_id).eqNullSafe(F.col("keep_id")).alias("kept"), F.col(sha).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, keep: str = "max", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
