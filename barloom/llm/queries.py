@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import bpe, exact_dedup, packing, sharding, simhash, subspace, url_filter, wavelet
+from barloom.llm import bpe, exact_dedup, language, line_dedup, packing, sharding, simhash, subspace, url_filter, wavelet
 from barloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2,048 tokens."""
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_kneser_ney_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by models of the documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    marks = language.predict(docs, language.fit_on_training_rows(docs))
+    return marks.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@query("op6_patience_lines")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat in aligned blocks of an earlier one: what goes and what stays."""
+    out = line_dedup.deduplicate(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", F.size("deleted").alias("n_deleted"), "deleted",
+                      F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
