@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they start: once per context, as a zip of its sources."""
+    sc = spark.sparkContext
+    if getattr(sc, "_barloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="barloom-src-"), "barloom_src.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(target)
+    sc._barloom_shipped = True
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in ``spark.checkpoint.dir``; only a local session without that setting gets its own folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -266,7 +266,7 @@ def train(docs: DataFrame, model_cells: int = MODEL_CELLS, calibration_docs: int
     model_langs = langs
     stats = some.mapInArrow(run, "best long, h double").groupBy("best").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect()
     for r in stats:
-        model.limits[r.best] = max(r.m + MARGIN * r.s, (r.m - np.log(model.uniform)) / 2)     # half way to knowing nothing, at least
+        model.limits[r.best] = max(r.m + MARGIN * r.s, (r.m - 2 * np.log(model.uniform)) / 3)     # two thirds of the way to knowing nothing, at least
     model.key = uuid.uuid4().hex
     return model
 
