@@ -32,6 +32,7 @@ from barloom.llm.components import components
 SCALE = 127
 CELL_ROWS = 1024
 BLOCK_DIMS = 8
+CHUNK_ROWS = 16 * CELL_ROWS      # homes and probes of a cell in one task
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -99,10 +100,8 @@ def _placed(rounded: DataFrame, dims: int, blocks: list[tuple[int, int]], limits
             q = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, dims)
             for b, (s, e) in enumerate(blocks):
                 m = min(k, e - s)
-                cell = np.zeros((len(q), 1), np.int64)                    # cells still within reach, and their squared distance
-                dist, row = np.zeros(len(q)), np.arange(len(q))
-                home = np.zeros(len(q), np.int64)
-                cell = np.zeros(len(q), np.int64)
+                dist, row = np.zeros(len(q)), np.arange(len(q))           # cells still within reach, and their squared distance
+                home, cell = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
                 for j in range(m):
                     x, cuts = q[:, s + j].astype(float), edges[s + j]
                     own = np.searchsorted(cuts, x)
@@ -127,7 +126,7 @@ def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int,
             maybe: float) -> DataFrame:
     """``kind, a, b, n``: sure links counted per vector (kind 0), spanning links (1), pairs to verify (2)."""
     def solve(block: int, sub: tuple[int, int], own: np.ndarray, home: np.ndarray, cid: np.ndarray, w: np.ndarray, q: np.ndarray):
-        n, f = len(q), q.astype(np.float32)
+        n, f, home = len(q), q.astype(np.float32), home > 0
         s, e = blocks[block]
         g = f[:, s:e]
         sq = (g * g).sum(axis=1)
@@ -139,12 +138,12 @@ def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int,
                 col.append(v)
 
         order = np.argsort(~home, kind="stable")                      # homes first: every admitted pair has one
-        f, g, sq, cid, w, own, home = f[order], g[order], sq[order], cid[order], w[order], own[order], home[order]
-        homes = int(home.sum())
-        for a in range(0, homes, 512):
-            z = min(a + 512, homes)
-            near = sq[a:z, None] + sq[None, a:] - 2 * (g[a:z] @ g[a:].T) <= limits[block]
-            i, j = np.nonzero(near)
+        f, g, sq, cid, w, own = f[order], g[order], sq[order], cid[order], w[order], own[order]
+        homes, one = int(home.sum()), np.ones((n, 1), np.float32)
+        left, right = np.hstack([-2 * g, sq[:, None], one]), np.hstack([g, one, sq[:, None]]).T.copy()
+        for a in range(0, homes, 256):                                # squared distances by one product, exact in integers
+            z = min(a + 256, homes)
+            i, j = np.divmod(np.flatnonzero(left[a:z] @ right[:, a:] <= limits[block]), n - a)
             i, j = i + a, j + a
             ok = j > i
             if sub[0] != sub[1]:
@@ -186,32 +185,39 @@ def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int,
         return [np.concatenate(k) for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list[np.ndarray]] = []                                 # parts of the open group
         last = None
 
-        def close():
-            if len(held) > 1:
-                own, home, cid, w = (np.array(c) for c in list(zip(*held))[:4])
-                q = np.frombuffer(b"".join(r[4] for r in held), np.int8).reshape(-1, dims)
-                kind, a, b, n = solve(last[0], last[2:], own, home, cid, w, q)
+        def close() -> Iterator[pa.RecordBatch]:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            if cols and len(cols[0]) > 1:
+                kind, a, b, n = solve(last[0], last[2:], *cols)
                 if len(kind):
                     yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(n)], ["kind", "a", "b", "n"])
 
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for key, row in zip(zip(*cols[:4]), zip(*cols[4:])):
+            if not batch.num_rows:
+                continue
+            cols = [np.asarray(c) for c in batch.columns[:-1]]
+            cols.append(np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.int8).reshape(-1, dims))
+            change = np.zeros(batch.num_rows - 1, bool)
+            for c in cols[:len(keys)]:
+                change |= c[1:] != c[:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges[:-1], edges[1:]):
+                key = tuple(int(c[start]) for c in cols[:len(keys)])
                 if key != last:
                     yield from close()
                     held, last = [], key
-                held.append(row)
+                held.append([c[start:end] for c in cols[len(keys):]])
         yield from close()
 
-    cut = rows.select(*keys, "own", "home", "cid", "w", "q").repartition(*keys).sortWithinPartitions(*keys)
+    cut = rows.select(*keys, "own", F.col("home").cast("int").alias("home"), "cid", "w", "q").repartition(*keys).sortWithinPartitions(*keys)
     return cut.mapInArrow(run, "kind int, a long, b long, n long")
 
 
 def near_duplicates(df: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding",
-                    block_dims: int = BLOCK_DIMS, chunk: int = 2 * CELL_ROWS) -> DataFrame:
+                    block_dims: int = BLOCK_DIMS, chunk: int = CHUNK_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of ``df``; other columns are ignored.
 
     Links are all pairs of different rows with cosine >= ``cosine``, whatever
