@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from barloom.llm.common import by_size
 from barloom.llm.tokens import Generations, UnitEncoder
@@ -184,8 +185,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text") -
                 yield pa.RecordBatch.from_arrays([*cut.columns, ids], names=[*cut.schema.names, "ids"])
 
     kept = docs.drop("ids")
-    schema = kept.schema.add("ids", "array<int>")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, StructType([*kept.schema, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -198,7 +198,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "bytes"])
 
     kept = df.drop("bytes")
-    return kept.mapInArrow(run, kept.schema.add("bytes", "binary"))
+    return kept.mapInArrow(run, StructType([*kept.schema, StructField("bytes", BinaryType())]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
