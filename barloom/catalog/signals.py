@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import regime as R
 from ..operators import signals as S
+from ..plans.rank import with_row
 from ..sources import views as V
 from .base import query
 from .indicators import ADX, ATR, BB, MACD, NUL, RSI, STO, TWO, ema_step, means, recursion, two_frames
@@ -110,10 +111,26 @@ ALL = "\nUNION ALL ".join(r for rs in RULES.values() for r in rs)
 
 query("generate_signals", COLS, ALL, PRE)(lambda s, d: S.generate_signals(V.bars(s, d)))
 query("candle_patterns", COLS, "\nUNION ALL ".join(r for c in CANDLES for r in RULES[c]), PRE)(lambda s, d: S.candle_patterns(V.bars(s, d)))
+CUTS, CUT_DAYS = 12, 49
+
+
+def as_of(s, d):
+    """Every series as it stood at the end and at eleven earlier dates, as series of their own: rules then fire both ways."""
+    b = V.bars(s, d)
+    b = with_row(b, b.agg(F.max("ts").alias("_end"))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))))
+    return b.filter(F.expr(f"ts <= _end - make_dt_interval({CUT_DAYS} * _k)")).withColumn("symbol", F.concat_ws("|", "symbol", "_k")).drop("_end", "_k")
+
+
+AS_OF = ctes("bars") + f""",
+ b00 AS (SELECT symbol||'|'||k AS symbol, bars.* EXCLUDE (symbol) FROM bars, range(0, {CUTS}) t(k)
+  WHERE ts <= (SELECT max(ts) FROM bars) - to_days(CAST({CUT_DAYS}*k AS INTEGER))),
+ b0 AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS prev, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn,
+  count(*) OVER (PARTITION BY symbol) AS n FROM b00), {INPUT}, {PV}"""
+AS_OF = AS_OF.replace("WITH ", "WITH RECURSIVE ", 1)
 for _name, _rules in RULES.items():
-    query(_name, COLS, "\nUNION ALL ".join(_rules), PRE)(
-        lambda s, d, p=NAMES[_name]: S.generate_signals(V.bars(s, d)).filter(F.col("name").rlike(p.replace("(", "\\("))))
-query("scan_divergences", COLS, "\nUNION ALL ".join(RULES["rsi_divergence"]), PRE)(lambda s, d: S.divergences(S.generate_signals(V.bars(s, d))))
+    query(_name, COLS, "\nUNION ALL ".join(_rules), AS_OF)(
+        lambda s, d, p=NAMES[_name]: S.generate_signals(as_of(s, d)).filter(F.col("name").rlike(p.replace("(", "\\("))))
+query("scan_divergences", COLS, "\nUNION ALL ".join(RULES["rsi_divergence"]), AS_OF)(lambda s, d: S.divergences(S.generate_signals(as_of(s, d))))
 
 SCORE = f"""sig AS (SELECT *, CASE strength WHEN 'strong' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END*confidence AS w FROM ({ALL})),
  sc AS (SELECT symbol, count(*) AS n_signals, floor(sum(CASE WHEN type='buy' THEN w ELSE -w END)/sum(w)*100+.5) AS score,

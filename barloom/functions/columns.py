@@ -22,6 +22,11 @@ def safe_div(a: Column, b: Column, default: float | None = None) -> Column:
     return d
 
 
+def log_growth(gain: Column) -> Column:
+    """ln of a growth factor; minus infinity for a total loss, so that sums over it compound to zero."""
+    return F.when(gain <= 0, F.lit(float("-inf"))).otherwise(F.ln(gain))
+
+
 def ladder(x: Column, steps: list[tuple[float, str]], otherwise: str) -> Column:
     """First label whose bound ``x`` exceeds, from the highest bound down."""
     out = None

@@ -19,7 +19,7 @@ from ..plans.blocks import Series, framed, time_series
 from ..plans.rank import with_row
 from ..sources.views import BAR_SERIES
 
-TS_SERIES = time_series(("_all",), ("ts",), bucket_seconds=365 * 86_400)
+TS_SERIES = time_series(("_all",), ("ts",), bucket_seconds=86_400)
 
 
 def common_ts(df: DataFrame, ts: str = "ts", symbol: str = "symbol") -> DataFrame:

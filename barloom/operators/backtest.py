@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import half_up
+from ..functions.columns import half_up, log_growth
 from ..plans.blocks import Frame, Series, ema_lookback, framed, wilder_lookback
 from ..plans.lineage import cut
 from ..plans.rank import ranked
@@ -212,7 +212,7 @@ def simulate(signals: DataFrame, capital: float = 10_000.0, commission: float =
     enter, leave = c("pos") & ~c("was"), (c("was") & ~c("pos")) | (c("pos") & c("last_bar"))
     rows = cut(fr.with_columns(enter=enter, leave=leave).body())
     gain = move * F.when(c("enter"), cost_in).otherwise(1.0) * F.when(c("leave"), cost_out).otherwise(1.0)
-    rows = rows.withColumn("gain", gain).withColumn("_lg", F.ln("gain")).drop("_p")
+    rows = rows.withColumn("gain", gain).withColumn("_lg", log_growth(F.col("gain"))).drop("_p")
     fr = framed(rows, rs, carry={"e": ("sum", c("_lg"))}, block_rows=block_rows)
     eq = fr.running("e", "sum", c("_lg"))
     before = fr.running("e", "sum", c("_lg"), inclusive=False)
@@ -252,7 +252,7 @@ def metrics(sim: DataFrame, capital: float = 10_000.0, series: Series = BAR_SERI
     g = x.groupBy(*key).agg(
         F.max("_bars").alias("n_bars"), F.max("_per").alias("_per"), F.max("_t0").alias("_t0"), F.max("_t1").alias("_t1"),
         F.max_by("equity", ts).alias("_eq"), F.avg(r).alias("_m"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("_sd"),
-        F.coalesce(F.stddev_samp(F.when(r < target, r)), F.lit(0.0)).alias("_dn"), F.sum(F.ln("gain")).alias("_lg"),
+        F.coalesce(F.stddev_samp(F.when(r < target, r)), F.lit(0.0)).alias("_dn"), F.sum(log_growth(F.col("gain"))).alias("_lg"),
         F.max((c("peak") - c("equity")) / c("peak")).alias("_dd"), F.coalesce(F.max(under), F.lit(0.0)).alias("_du"),
         F.count(pnl).alias("total_trades"), F.count(win).alias("_nw"), F.avg(win).alias("_aw"), F.avg(loss).alias("_al"),
         F.max(win).alias("_lw"), F.min(loss).alias("_ll"), F.sum(win).alias("_gp"),
@@ -313,7 +313,12 @@ def walk_forward_split(bars: DataFrame, runs: list[tuple[str, dict]], ratio: flo
 
 def walk_forward_rolling(bars: DataFrame, runs: list[tuple[str, dict]], window: int, step: int, metric: str = "sharpe",
                          series: Series = BAR_SERIES, **kw) -> DataFrame:
-    """Rolling train and test windows: best parameters of each train window judged on the bars after it."""
+    """Rolling train and test windows: best parameters of each train window judged on the bars after it.
+
+    A train window of under 30 bars or a step of under 5 is refused.
+    """
+    if window < 30 or step < 5:
+        raise ValueError("window must be at least 30 bars and step at least 5")
     key = list(series.key)
     r = framed(bars, series).body(keep_rn=True).withColumnsRenamed({"_rn": "rn", "_n": "n"})
     # window k trains on rows k*step+1 .. k*step+window and tests on the next step rows
@@ -321,8 +326,6 @@ def walk_forward_rolling(bars: DataFrame, runs: list[tuple[str, dict]], window:
     hi = F.least(F.floor((F.col("rn") - 1) / step), F.floor((F.col("n") - window - step) / step))
     e = r.withColumn("k", F.explode(F.when(lo <= hi, F.sequence(lo, hi)))).withColumn(
         "part", F.when(F.col("rn") - F.col("k") * step <= window, "train").otherwise("test"))
-    if window < 30 or step < 5:
-        e = e.filter(F.lit(False))
     m = backtest(e.drop("rn", "n"), runs, series=series.with_key("k", "part"), **kw)
     train = best_run(m.filter("part = 'train' AND total_trades > 0"), metric, [*key, "k"])
     test = m.filter("part = 'test'").select(*key, "k", "strategy", "params", F.col("sharpe").alias("oos_sharpe"),
@@ -347,5 +350,5 @@ def sma_backtest_v1(bars: DataFrame, fast: int, slow: int, capital: float = 10_0
     t = trades(sim, 0.0, 0.0, series).withColumn("r", F.col("exit_price") / F.col("entry_price") - 1)
     g = t.groupBy(*series.key).agg(
         F.count(F.lit(1)).alias("n_trades"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
-        (F.exp(F.sum(F.log1p(fraction * F.col("r")))) * capital).alias("final_capital"))
+        (F.exp(F.sum(log_growth(1 + fraction * F.col("r")))) * capital).alias("final_capital"))
     return g.withColumn("total_return", F.col("final_capital") / capital - 1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import log_growth
 from ..plans.blocks import Series, framed
 from ..plans.rank import at_ranks, linear_percentiles, with_row
 from ..sources.views import BAR_SERIES
@@ -52,7 +53,7 @@ def bootstrap_var(rets: DataFrame, sims: int = 1000, horizon: int = 1, levels=(9
 def path_stats(rets: DataFrame, sims: int, horizon: int | None, series: Series, seed: int) -> DataFrame:
     """Mean, deviation, Sharpe and maximum drawdown of every simulated path."""
     key = list(series.key)
-    s = sampled(rets, sims, horizon, series, seed).withColumn("_l", F.log1p("ret"))
+    s = sampled(rets, sims, horizon, series, seed).withColumn("_l", log_growth(1 + F.col("ret")))
     ps = Series((*key, "sim"), ("step",), lambda: F.floor(F.col("step") / 100_000))
     fr = framed(s, ps, carry={"l": ("sum", F.col("_l"))})
     p = fr.with_columns(v=F.exp(fr.running("l", "sum", F.col("_l")))).body()
@@ -76,7 +77,7 @@ def bootstrap_ci(rets: DataFrame, statistic: str = "sharpe", sims: int = 200, le
     point = {"mean": F.avg("ret"), "volatility": sd, "sharpe": F.when(sd == 0, 0.0).otherwise(F.avg("ret") / sd * 365 ** 0.5)}
     if statistic == "max_drawdown":
         from .stats import max_drawdown
-        ser, lg = series, F.log1p("ret")
+        ser, lg = series, log_growth(1 + F.col("ret"))
         fr = framed(rets, ser, carry={"l": ("sum", lg)})
         path = fr.with_columns(v=F.exp(fr.running("l", "sum", lg))).body()
         est = max_drawdown(path, "v", ser).select(*key, F.col("max_drawdown").alias("estimate"))

@@ -16,7 +16,7 @@ from ..plans.blocks import Series, framed, tail, time_series
 from .align import common_ts, pair_moments
 from .tseries import half_life_of, mackinnon_cv, mackinnon_p
 
-SYMBOL_SERIES = time_series(("symbol",), ("ts",), bucket_seconds=365 * 86_400)
+SYMBOL_SERIES = time_series(("symbol",), ("ts",), bucket_seconds=86_400)
 PARTS = [f + g for f in "xld" for g in "xld"]
 
 

@@ -61,7 +61,7 @@ _OPS = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__", "=": "__eq
 
 
 def screen_universe(bars: DataFrame, filters: list[tuple[str, str, float, int]],
-                    series: Series = BAR_SERIES, limit: int | None = 100, as_of=None) -> DataFrame:
+                    series: Series = BAR_SERIES, limit: int | None = None, as_of=None) -> DataFrame:
     """Symbols passing all (metric, op, value, lookback days) filters; each keeps its own lookback."""
     longest = max(f[3] for f in filters)
     df = within_lookback(bars, longest, as_of)

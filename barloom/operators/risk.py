@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import half_up, safe_div
+from ..functions.columns import half_up, log_growth, safe_div
 from ..plans.blocks import framed, time_series
 from ..plans.rank import with_row
 from .factors import both_triangles
@@ -176,8 +176,8 @@ def portfolio_risk(rets: DataFrame, weights: DataFrame, value: float, confidence
 
     p = portfolio_returns(rets, weights).withColumn("_all", F.lit(0))
     ser = time_series(("_all",), ("ts",), 365 * 86_400)
-    fr = framed(p, ser, carry={"l": ("sum", F.log1p("ret"))})
-    path = fr.with_columns(value=F.exp(fr.running("l", "sum", F.log1p("ret")))).body()
+    fr = framed(p, ser, carry={"l": ("sum", log_growth(1 + F.col("ret")))})
+    path = fr.with_columns(value=F.exp(fr.running("l", "sum", log_growth(1 + F.col("ret"))))).body()
     # the path starts at 1 before the first return
     fr = framed(path, ser, carry={"peak": ("max", F.col("value"))})
     dd = fr.with_columns(_pk=F.greatest(F.lit(1.0), fr.running("peak", "max", F.col("value")))).body()

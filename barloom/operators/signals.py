@@ -2,7 +2,7 @@
 
 A rule is an expression over the last row of an indicator table. The last
 ``TAIL`` rows per series hold every lookback (the longest EMA has forgotten
-anything older), so each series is a bounded group.
+anything older), so each series is a bounded group; ``n_bars`` is counted apart.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ def indicator_tail(bars: DataFrame, series: Series = BAR_SERIES, rows: int = TAI
                            sma_200=sma_col(fr, "close", 200))
 
 
-def last_rows(fr: Frame, cols: dict[str, Column]) -> DataFrame:
+def last_rows(fr: Frame, cols: dict[str, Column], bars: DataFrame) -> DataFrame:
+    """The last row of each series; ``n_bars`` counts all its bars, not only the kept ones."""
     df = fr.df.select("*", *[c.alias(n) for n, c in cols.items()])
-    return df.filter(F.col("_rn") == F.col("_n")).withColumnRenamed("_n", "n_bars").drop("_blk", "_halo", "_rn")
+    total = bars.groupBy(*fr.series.key).agg(F.count(F.lit(1)).alias("n_bars"))
+    return df.filter(F.col("_rn") == F.col("_n")).drop("_n", "_blk", "_halo", "_rn").join(total, list(fr.series.key))
 
 
 def signal_inputs(bars: DataFrame, series: Series = BAR_SERIES) -> DataFrame:
@@ -50,7 +52,7 @@ def signal_inputs(bars: DataFrame, series: Series = BAR_SERIES) -> DataFrame:
              "v20": span(F.avg, "volume", -20, -1), "hi_band": span(F.max, "high", -19, -2),
              "lo_band": span(F.min, "low", -19, -2),
              "last30": F.collect_list(F.struct(F.col("_rn").alias("i"), "high", "low")).over(fr.rows(-29))}
-    return last_rows(fr, cols)
+    return last_rows(fr, cols, bars)
 
 
 def _rule(cond: Column, name: str, side: Column | str, strength: Column | str, conf: float, target: Column | None = None,
@@ -279,7 +281,7 @@ def signal_dashboard(bars: DataFrame, series: Series = BAR_SERIES) -> DataFrame:
 
 def timeframe_signals(bars: DataFrame, series: Series = BAR_SERIES) -> DataFrame:
     """Readings of the last bar: RSI zone, MACD sign, SMA trend, band position, price against EMA20."""
-    x = last_rows(indicator_tail(bars, series), {})
+    x = last_rows(indicator_tail(bars, series), {}, bars)
     c, px = F.col, F.col("close")
     r = half_up(F.coalesce("rsi", F.lit(50.0)), 2)
     x = x.withColumn("rsi", r)

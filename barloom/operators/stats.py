@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import clamp, safe_div
+from ..functions.columns import clamp, log_growth, safe_div
 from ..plans.blocks import Series, framed, islands, tail
 from ..plans.rank import at_ranks, linear_percentiles
 from ..sources.views import BAR_KEY, BAR_SERIES
@@ -102,7 +102,7 @@ def max_drawdown(df: DataFrame, x: str = "close", series: Series = BAR_SERIES) -
 
 def calmar(bars: DataFrame, rets: DataFrame, periods: int = PERIODS, series: Series = BAR_SERIES) -> DataFrame:
     """Annualised compound return over the maximum drawdown; infinite without drawdown."""
-    g = rets.groupBy(*series.key).agg(F.sum(F.log1p("ret")).alias("_l"), F.count("ret").alias("_n"))
+    g = rets.groupBy(*series.key).agg(F.sum(log_growth(1 + F.col("ret"))).alias("_l"), F.count("ret").alias("_n"))
     dd = max_drawdown(bars, "close", series).select(*series.key, "max_drawdown")
     annual = F.exp(F.col("_l") * periods / F.col("_n")) - 1
     return g.join(dd, list(series.key)).withColumn("annual_return", annual).withColumn(

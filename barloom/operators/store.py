@@ -32,9 +32,11 @@ FILLS_SCHEMA = T.StructType(
     + [_f(c, T.StringType(), True) for c in ("order_id", "strategy")])
 
 # Exchange-traded funds the asset classifier knows.
-ETF_SYMBOLS = ("ARKF", "ARKG", "ARKK", "ARKQ", "ARKW", "BITO", "DIA", "ETHE", "FBTC", "GBTC", "GLD",
-               "HYG", "IBIT", "IWM", "LQD", "QQQ", "SLV", "SPY", "TLT", "VEA", "VOO", "VTI", "VWO",
-               "XLB", "XLE", "XLF", "XLI", "XLK", "XLP", "XLRE", "XLU", "XLV", "XLY")
+ETF_SYMBOLS = ("SPY", "QQQ", "IWM", "DIA", "VOO", "VTI", "VEA", "VWO",
+               "GLD", "SLV", "TLT", "HYG", "LQD", "XLF", "XLE", "XLK",
+               "XLV", "XLI", "XLP", "XLU", "XLB", "XLY", "XLRE",
+               "ARKK", "ARKW", "ARKG", "ARKF", "ARKQ",
+               "IBIT", "FBTC", "GBTC", "ETHE", "BITO")
 
 
 def keep_last(df: DataFrame, pk, order: list[str]) -> DataFrame:
@@ -46,7 +48,10 @@ def keep_last(df: DataFrame, pk, order: list[str]) -> DataFrame:
 
 
 def upsert(existing: DataFrame, new: DataFrame, pk, seq: str | None = None) -> DataFrame:
-    """Later rows with the same key win: new over existing, higher ``seq`` within new."""
+    """Later rows with the same key win: new over existing, higher ``seq`` within new.
+
+    Without ``seq`` the rows of ``new`` must have different keys; ``upsert_path`` checks that.
+    """
     cols = existing.columns
     s = F.col(seq).cast("long") if seq else F.lit(0).cast("long")
     a = existing.select(*cols, F.lit(0).alias("_gen"), F.lit(0).cast("long").alias("_seq"))
@@ -63,10 +68,13 @@ def journal_upsert(existing: DataFrame, new: DataFrame, seq: str | None = None)
 
 
 def write_bars(df: DataFrame, path: str) -> None:
-    """Partitioned by interval and month, sorted so row groups skip on symbol and ts."""
+    """Partitioned by interval and month, sorted so row groups skip on symbol and ts.
+
+    Rows are rebalanced, so a month with many rows is written by as many tasks as its size asks for.
+    """
     out = df.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    (out.repartition("interval", "month", F.pmod(F.xxhash64("symbol"), F.lit(16)))
-     .sortWithinPartitions("symbol", "ts").write.mode("overwrite")
+    (out.hint("rebalance", "interval", "month")
+     .sortWithinPartitions("interval", "month", "symbol", "ts").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("interval", "month").parquet(path))
 
 
@@ -79,15 +87,22 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert_path(new: DataFrame, path: str, seq: str | None = None) -> None:
-    """Merge into stored bars; only the (interval, month) folders that get rows are rewritten."""
-    spark = new.sparkSession
+    """Merge into stored bars; only the (interval, month) folders that get rows are read and rewritten.
+
+    Without ``seq`` a key that repeats within ``new`` raises ValueError. Folders are replaced one by one,
+    so a reader may see some months new and others old while the write runs.
+    """
+    spark, cols = new.sparkSession, BARS_SCHEMA.fieldNames()
+    if seq is None and not new.groupBy(*BAR_PK).count().filter("count > 1").isEmpty():
+        raise ValueError("new rows repeat a key; name a seq column")
     if not _exists(spark, path):
-        cols = BARS_SCHEMA.fieldNames()
-        write_bars(keep_last(new, BAR_PK, [seq] if seq else ["close"]).select(*cols), path)
+        write_bars((keep_last(new, BAR_PK, [seq]) if seq else new).select(*cols), path)
         return
-    parts = new.select("interval", F.date_format("ts", "yyyy-MM").alias("month")).distinct()
-    old = spark.read.schema(STORED_SCHEMA).parquet(path).join(parts, ["interval", "month"], "left_semi") \
-        .select(*BARS_SCHEMA.fieldNames())
+    touched = new.groupBy("interval").agg(F.collect_set(F.date_format("ts", "yyyy-MM")).alias("months")).collect()  # folders
+    where = F.lit(False)
+    for r in touched:
+        where = where | ((F.col("interval") == r["interval"]) & F.col("month").isin(r["months"]))
+    old = spark.read.schema(STORED_SCHEMA).parquet(path).filter(where).select(*cols)
     write_bars(cut(upsert_bars(old, new, seq)), path)
 
 
@@ -156,7 +171,9 @@ def export_parquet(df: DataFrame, path: str, symbol: str | None = None,
         raise ValueError(f"bad symbol {symbol!r}")
     if interval is not None and not _FRAME.match(interval):
         raise ValueError(f"bad timeframe {interval!r}")
-    query_bars(df, symbol, interval).write.mode("overwrite").parquet(path)
+    for c, v in (("symbol", symbol), ("interval", interval)):
+        df = df if v is None else df.filter(F.col(c) == v)
+    df.sortWithinPartitions("symbol", "ts").write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

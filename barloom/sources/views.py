@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.blocks import time_series
 
 BAR_KEY = ("symbol", "exchange", "interval")
-BAR_SERIES = time_series(BAR_KEY, ("ts",), bucket_seconds=7 * 86_400 * 52)
+BAR_SERIES = time_series(BAR_KEY, ("ts",), bucket_seconds=86_400)
 TICK_SERIES = time_series(("symbol",), ("ts", "seq"), bucket_seconds=3600)
 VENUE_SERIES = time_series(("symbol", "venue"), ("ts", "seq"), bucket_seconds=3600)
 
