@@ -8,7 +8,7 @@ from ..operators import align as A
 from ..operators import returns as R
 from ..plans.blocks import time_series
 from ..sources import views as V
-from .base import query
+from .base import ORACLES, query
 from .indicators import PAIRS, index_pairs
 from .sql import BARS, RETS, ctes
 from .stats import FUNDING, funding, rets
@@ -82,6 +82,10 @@ query("lead_lag_join", "symbol a b corr:6 lag leader",
         AS rn, count(*) OVER (PARTITION BY symbol)//4 AS n FROM (SELECT *, count(*) OVER (PARTITION BY symbol, ts) AS k
         FROM funding) WHERE k=4)"""))(lambda s, d: A.lead_lag(venue_panel(s, d)))
 
+query("price_discovery", "symbol leader leads",
+      f"""SELECT symbol, arg_max(leader, ROW(k, leader)) AS leader, max(k) AS leads FROM (SELECT symbol, leader, count(*) AS k FROM
+         ({ORACLES['lead_lag_join']}) GROUP BY 1,2) GROUP BY 1""")(lambda s, d: A.price_discovery(A.lead_lag(venue_panel(s, d))))
+
 query("volume_profile", "symbol bin price:2 volume:2 poc value_area",
       """SELECT symbol, bin, lo+(bin+.5)*sz AS price, v AS volume, r=1 AS poc,
           coalesce(sum(v) OVER (PARTITION BY symbol ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import derivs as D
 from ..operators import panels as P
 from ..sources import views as V
-from .base import query
+from .base import ORACLES, query
 from .indicators import HOUR_SERIES
 from .sql import TICKS, ctes
 from .stats import FUND_SERIES, FUNDING, funding
@@ -128,6 +128,9 @@ query("margin_call_grid", "account shock:2 n_liquidated loss:2 pnl:2 surviving_m
          account, shock, nt, nt/lv AS m, CASE WHEN lg THEN nt*shock ELSE -nt*shock END AS p FROM (SELECT c_nationkey AS account, abs(c_acctbal)*(100.0+
          c_custkey%10) AS nt, 2.0+c_custkey%20 AS lv, c_acctbal>=0 AS lg FROM customer), (SELECT unnest([-.2::DOUBLE,-.1,-.05,.05,.1,.2]) AS shock)))
          GROUP BY 1,2""")(lambda s, d: D.margin_call_grid(margin_positions(s, d), [-0.2, -0.1, -0.05, 0.05, 0.1, 0.2]))
+query("worst_shock", "account shock:2 loss:0",
+      f"SELECT account, arg_min(shock, ROW(-loss, shock)) AS shock, max(loss) AS loss FROM ({ORACLES['margin_call_grid']}) GROUP BY 1")(
+    lambda s, d: D.worst_shock(D.margin_call_grid(margin_positions(s, d), [-0.2, -0.1, -0.05, 0.05, 0.1, 0.2])))
 query("effective_leverage", "account gross:6 net:6 long:6 short:6 margin_used:3 free_margin:3 margin_level:6 distance:6",
       """SELECT account, g/e AS gross, abs(l-h)/e AS net, l/e AS long, h/e AS short, m AS margin_used, greatest(0,e-m) AS free_margin, e/m AS margin_level,
          greatest(0,e-m)/g AS distance FROM (SELECT c_nationkey AS account, sum(abs(c_acctbal)) AS g, sum(abs(c_acctbal))*.1 AS m, sum(greatest(c_acctbal,0))
@@ -184,18 +187,19 @@ def ncdf(x: str) -> str:
     return CDF.format(s=f"(CASE WHEN {x}>=0 THEN 1 ELSE -1 END)", t=f"(1/(1+0.3275911*{z}))", x=f"({x})")
 
 
+THEO = f"""(SELECT *, CASE WHEN type='call' THEN spot*n1-strike*dc*n2 ELSE
+         strike*dc*(1-n2)-spot*(1-n1) END AS theo, CASE WHEN type='call' THEN n1 ELSE n1-1 END AS delta FROM (SELECT *, exp(-.03*t) AS dc, exp(-d1*d1/2)/sqrt(2*pi())
+         AS pd, {ncdf('d1')} AS n1, {ncdf('d2')} AS n2 FROM (SELECT *, d1-iv*sqrt(t) AS d2 FROM (SELECT *, (ln(spot/strike)+(.03+.5*iv*iv)*t)/(iv*sqrt(t)) AS d1
+         FROM ch))))"""
 query("chain_panel", "underlying seq theo:5 delta:5 gamma:7 vega:5 theta:6 rho:5 implied:3 breakeven:5",
       f"""SELECT underlying, seq, theo, delta, pd/(spot*iv*sqrt(t)) AS gamma, spot*pd*sqrt(t)/100 AS vega, (-(spot*pd*iv)/(2*sqrt(t))-.03*strike*dc*CASE WHEN
          type='call' THEN n2 ELSE n2-1 END)/365 AS theta, strike*t*dc*CASE WHEN type='call' THEN n2 ELSE n2-1 END/100 AS rho, iv AS implied,
-         CASE WHEN type='call' THEN strike+theo ELSE strike-theo END AS breakeven FROM (SELECT *, CASE WHEN type='call' THEN spot*n1-strike*dc*n2 ELSE
-         strike*dc*(1-n2)-spot*(1-n1) END AS theo, CASE WHEN type='call' THEN n1 ELSE n1-1 END AS delta FROM (SELECT *, exp(-.03*t) AS dc, exp(-d1*d1/2)/sqrt(2*pi())
-         AS pd, {ncdf('d1')} AS n1, {ncdf('d2')} AS n2 FROM (SELECT *, d1-iv*sqrt(t) AS d2 FROM (SELECT *, (ln(spot/strike)+(.03+.5*iv*iv)*t)/(iv*sqrt(t)) AS d1
-         FROM ch))))""", "WITH " + CH)(lambda s, d: P.chain_panel(chain(s, d), "2024-07-01"))
+         CASE WHEN type='call' THEN strike+theo ELSE strike-theo END AS breakeven FROM {THEO}""", "WITH " + CH)(
+    lambda s, d: P.chain_panel(chain(s, d), "2024-07-01"))
 query("put_call_parity", "underlying expiry strike:2 gap:3",
-      """SELECT underlying, expiry, strike, avg(CASE WHEN type='call' THEN 0.0 END) + 0*avg(CASE WHEN type='put' THEN 0.0 END) AS gap FROM ch GROUP BY 1,2,3
-         HAVING count(*) FILTER (type='call')>0 AND count(*) FILTER (type='put')>0""", "WITH " + CH)(
-    # equal volatility on both sides makes parity exact
-    lambda s, d: P.parity_gap(P.chain_panel(chain(s, d).withColumn("iv", F.lit(0.3)), "2024-07-01")))
+      f"""SELECT underlying, expiry, strike, avg(theo) FILTER (type='call')-avg(theo) FILTER (type='put')-max(spot)+strike*exp(-.03*max(t)) AS gap
+         FROM {THEO} GROUP BY 1,2,3 HAVING count(*) FILTER (type='call')>0 AND count(*) FILTER (type='put')>0""", "WITH " + CH)(
+    lambda s, d: P.parity_gap(P.chain_panel(chain(s, d), "2024-07-01")))
 
 
 # --- panels

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import factors as A
 from ..operators import risk as K
 from ..sources import views as V
-from .base import query
+from .base import ORACLES, query
 from .sql import BARS, RETS, ctes
 from .stats import rets
 
@@ -53,6 +53,9 @@ query("xs_momentum", "symbol cum:6 rank quintile z:6",
          cum DESC, symbol)-1)/count(*) OVER ()*5)+1) AS BIGINT) AS quintile, (cum-avg(cum) OVER ())/stddev_samp(cum) OVER () AS z FROM (
          SELECT symbol, product(1+ret)-1 AS cum FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM rets)
          WHERE k>21 AND k<=273 GROUP BY 1)""", RETS)(lambda s, d: A.xs_momentum(rets(s, d)))
+query("long_short_spread", "spread:4",
+      f"""SELECT coalesce(avg(cum) FILTER (quintile=1),0)-coalesce(avg(cum) FILTER (quintile=5),0) AS spread FROM ({ORACLES['xs_momentum']})""")(
+    lambda s, d: A.long_short_spread(A.xs_momentum(rets(s, d))))
 
 COV = """cv AS MATERIALIZED (SELECT x.symbol AS a, y.symbol AS b, covar_samp(x.ret, y.ret) AS cov, count(*) AS n FROM cr x JOIN cr y
   ON x.ts=y.ts AND x.symbol<=y.symbol GROUP BY 1,2)"""

@@ -97,6 +97,14 @@ def _(spark, d):
     return S.ingest_exchange_batch(b.filter("ts < '1998-06-01'"), b, "sim", "1w", "stock")
 
 
+@query("ingest_report", "symbol n_new last_ts",
+       """SELECT b.symbol, count(*) AS n_new, max(b.ts) AS last_ts FROM bars b LEFT JOIN (SELECT symbol, max(ts) AS l FROM bars
+          WHERE ts < TIMESTAMP '1998-06-01' GROUP BY 1) s USING (symbol) WHERE l IS NULL OR b.ts > l GROUP BY 1""", BARS)
+def _(spark, d):
+    b = V.bars(spark, d)
+    return S.ingest_report(S.ingest_exchange_batch(b.filter("ts < '1998-06-01'"), b, "sim", "1w", "stock"))
+
+
 @query("ingest_quotes_file", "symbol exchange interval ts asset_type close:2 volume:2",
        """SELECT upper(symbol) AS symbol, 'file' AS exchange, '1w' AS "interval", ts, 'stock' AS asset_type,
           close, CASE WHEN volume > 20 THEN volume ELSE 0 END AS volume

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ticks as K
 from ..plans.blocks import time_series
 from ..sources import views as V
-from .base import query
+from .base import ORACLES, query
 from .indicators import HOUR_SERIES
 from .sql import BARS, RETS, TICKS, ctes
 from .stats import funding, FUNDING
@@ -31,6 +31,12 @@ query("footprint", "symbol level price:4 bid_volume:2 ask_volume:2 delta:2 total
          SELECT symbol, CAST(floor(price/.5+.5) AS BIGINT) AS level, {BS} FROM ticks GROUP BY 1,2)""", TICKS)(
     lambda s, d: K.footprint(T(s, d), 0.5))
 
+def absorbed(s, d):
+    return K.absorption(T(s, d), V.book_levels(s, d).groupBy("symbol", "price").agg(
+        F.sum(F.when(F.col("side") == "bid", F.col("qty"))).alias("bid_qty"),
+        F.sum(F.when(F.col("side") == "ask", F.col("qty"))).alias("ask_qty")), 3)
+
+
 query("absorption", "symbol price:4 absorbed_volume:2 n_trades ts side strength:6",
       """SELECT g.symbol, g.price, v AS absorbed_volume, n_trades, g.ts, CASE WHEN coalesce(bq,0)>=coalesce(aq,0)
           THEN 'bid' ELSE 'ask' END AS side, least(v/(m*3), 5) AS strength FROM (SELECT symbol, price, sum(volume) AS v,
@@ -39,9 +45,15 @@ query("absorption", "symbol price:4 absorbed_volume:2 n_trades ts side strength:
           sum(qty) FILTER (side='bid') AS bq, sum(qty) FILTER (side='ask') AS aq FROM book GROUP BY 1,2) k
           ON k.symbol=g.symbol AND k.price=g.price WHERE n_trades>=3 AND v > m+2*sd AND greatest(coalesce(bq,0),
           coalesce(aq,0))>0""", ctes("ticks", "book"))(
-    lambda s, d: K.absorption(T(s, d), V.book_levels(s, d).groupBy("symbol", "price").agg(
-        F.sum(F.when(F.col("side") == "bid", F.col("qty"))).alias("bid_qty"),
-        F.sum(F.when(F.col("side") == "ask", F.col("qty"))).alias("ask_qty")), 3))
+    absorbed)
+query("absorption_summary", "symbol total_absorbed:1 dominant_side",
+      f"""SELECT symbol, sum(absorbed_volume) AS total_absorbed, CASE WHEN sum(CASE WHEN side='bid' THEN absorbed_volume ELSE 0 END)/sum(absorbed_volume)>.6
+         THEN 'buyers' WHEN sum(CASE WHEN side='bid' THEN absorbed_volume ELSE 0 END)/sum(absorbed_volume)<.4 THEN 'sellers' ELSE 'balanced' END
+         AS dominant_side FROM ({ORACLES['absorption']}) GROUP BY 1""")(lambda s, d: K.absorption_summary(absorbed(s, d)))
+query("tick_side", "symbol seq side",
+      """SELECT symbol, seq, CASE WHEN seq%3=0 THEN CASE WHEN price<lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq) THEN 'sell' ELSE 'buy' END
+         ELSE side END AS side FROM ticks""", ctes("ticks"))(
+    lambda s, d: K.tick_side(T(s, d).withColumn("side", F.when(F.col("seq") % 3 != 0, F.col("side")))))
 
 query("iceberg", "symbol side price:4 fill_count avg_fill:4 confidence:6 estimated_size:4 first_ts",
       """SELECT *, avg_fill*fill_count AS estimated_size FROM (SELECT symbol, side, arg_min(price, ROW(ts, seq)) AS price,
