@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-CACHE_UNITS = 500_000          # newest units a worker keeps, and as many of the generation before
+CACHE_UNITS = 700_000          # newest units a worker keeps, and as many of the generation before
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _ASCII_CASES = tuple(c + " " for c in map(chr, range(128)) if c.isspace())
 _UNIT_EDGE = re.compile(r"(?<=\S)(?= )")
