@@ -146,9 +146,17 @@ def scenario_table(spark, scenarios: dict[str, dict[str, float]] = SCENARIOS) ->
     return spark.createDataFrame(rows, "scenario string, currency string, shock double")
 
 
+MAX_SHOCKS = 100_000
+
+
 def stress_test(balances: DataFrame, tickers: DataFrame, scenarios: DataFrame, max_drawdown_pct: float,
                 stable=STABLE, key=("account",)) -> DataFrame:
-    """Loss of every account in every scenario; a currency without a shock takes the default."""
+    """Loss of every account in every scenario; a currency without a shock takes the default.
+
+    The scenarios travel as one row; more than ``MAX_SHOCKS`` of them raise ValueError.
+    """
+    if scenarios.limit(MAX_SHOCKS + 1).count() > MAX_SHOCKS:
+        raise ValueError(f"more than {MAX_SHOCKS} shocks")
     v = valued(balances, tickers, stable).filter("total <> 0")
     shocks = scenarios.groupBy("scenario").agg(F.map_from_entries(F.collect_list(F.struct("currency", "shock"))).alias("m")) \
         .agg(F.collect_list(F.struct("scenario", "m")).alias("all"))
