@@ -101,7 +101,7 @@ RULES["double_top_bottom"] = ["""SELECT d.symbol, CASE WHEN top=1 THEN 'Double T
    CASE WHEN top=1 THEN greatest(v1,v2)+.5*a ELSE least(v1,v2)-.5*a END AS stop FROM dbl d JOIN la l ON l.symbol=d.symbol"""]
 NAMES = {
     "golden_death_cross": "Cross (SMA50", "rsi_divergence": "Divergence", "macd_zero_cross": "MACD Zero", "macd_signal_cross": "MACD Signal",
-    "bollinger_bounce": "Bounce", "squeeze_release": "Squeeze", "volume_breakout": "Volume", "sr_break": " Break", "ema_ribbon": "Ribbon",
+    "bollinger_bounce": "Bounce", "squeeze_release": "Squeeze", "volume_breakout": "Volume", "sr_break": " Break$", "ema_ribbon": "Ribbon",
     "stochastic_cross": "Stochastic", "adx_trend_start": "ADX", "three_soldiers_crows": "Three", "engulfing": "Engulfing",
     "doji_star": "Doji", "hammer_star": "Hammer|Shooting", "double_top_bottom": "Double"}
 CANDLES = ("three_soldiers_crows", "engulfing", "doji_star", "hammer_star")
