@@ -22,8 +22,13 @@ from ..sources.views import BAR_SERIES
 TS_SERIES = time_series(("_all",), ("ts",), bucket_seconds=86_400)
 
 
-def common_ts(df: DataFrame, ts: str = "ts", symbol: str = "symbol") -> DataFrame:
-    """Rows at the timestamps where every symbol of the table has a row."""
+def common_ts(df: DataFrame, ts: str = "ts", symbol: str = "symbol", symbols: list[str] | None = None) -> DataFrame:
+    """Rows at the timestamps where every symbol has a row: those asked for, or all of the table.
+
+    One late listing empties the result over a whole table, so name the ``symbols`` of a portfolio.
+    """
+    if symbols is not None:
+        df = df.filter(F.col(symbol).isin(symbols))
     n = df.agg(F.count_distinct(symbol).alias("_k"))
     ok = with_row(df.groupBy(ts).agg(F.count_distinct(symbol).alias("_h")), n).filter("_h = _k").select(ts)
     return df.join(ok, ts, "left_semi")

@@ -63,3 +63,10 @@ def test_refused_input(spark, tmp_path):
     twice = spark.createDataFrame([row, row[:-2] + (2.0, 1.0)], names).withColumn("ts", F.col("ts").cast("timestamp"))
     with pytest.raises(ValueError):
         store.upsert_path(twice, str(tmp_path / "bars"))
+
+
+def test_common_timestamps_of_the_symbols_asked_for(spark):
+    from barloom.operators.align import common_ts
+
+    df = hourly(spark, 10).union(hourly(spark, 8, "B")).union(hourly(spark, 1, "LATE"))
+    assert common_ts(df).count() == 3 and common_ts(df, symbols=["A", "B"]).count() == 16
