@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from barloom.llm.common import by_size
-from barloom.llm.tokens import Generations, UnitEncoder
+from barloom.llm.tokens import UnitEncoder, Units
 
 
 class RankQueue:
@@ -154,15 +154,13 @@ def encoder(path: str, pattern: str) -> UnitEncoder:
     import regex
 
     table, find = ranks(path), regex.compile(pattern).findall
-    known = Generations()
+    known = [Units()]
 
     def encode_units(units: list[str]) -> list[bytes]:
-        known.turn()
-        cuts = [find(u) for u in units]
-        for word in known.lacking(set().union(*cuts)):
-            known.new[word] = np.array(table.encode(word.encode("utf-8")), dtype="<u4").tobytes()
-        get = known.new.__getitem__
-        return [b"".join(map(get, c)) for c in cuts]
+        words = known[0] = known[0].turned()
+        rows = [list(map(words.__getitem__, find(u))) for u in units]
+        words.settle(lambda new: [np.array(table.encode(w.encode("utf-8")), dtype="<u4").tobytes() for w in new])
+        return [b"".join(r) for r in rows]
 
     return UnitEncoder(encode_units, keep_space=True)
 

@@ -5,30 +5,48 @@ from __future__ import annotations
 import os
 import re
 CACHE_UNITS = 700_000          # newest units a worker keeps, and as many of the generation before
+CALL_UNITS = 96                # units per library call: short texts stay in the CPU's caches
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _ASCII_CASES = tuple(c + " " for c in map(chr, range(128)) if c.isspace())
 _UNIT_EDGE = re.compile(r"(?<=\S)(?= )")
 _WORKER: dict[tuple, "UnitEncoder"] = {}
 
 
-class Generations:
-    """Two dictionaries: when the newer is full it becomes the older; what is used again moves over."""
+class Units(dict):
+    """Packed ids by unit.  A lookup of an unknown unit gives an empty buffer, which ``settle`` fills.
 
-    def __init__(self):
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def turn(self) -> None:
-        if len(self.new) > CACHE_UNITS:
-            self.old, self.new = self.new, {}
+    Units of the generation before (``old``) move over when they are used.
+    """
 
-    def lacking(self, wanted: set[str]) -> set[str]:
-        missing = wanted.difference(self.new)
-        if missing and self.old:
-            again = missing.intersection(self.old)
-            self.new.update((u, self.old[u]) for u in again)
-            missing -= again
-        return missing
+    def __init__(self, old: dict | None = None):
+        super().__init__()
+        self.old, self.pending = old or {}, {}
+
+    def __missing__(self, unit: str):
+        packed = self.old.get(unit)
+        if packed is None:
+            packed = self.pending[unit] = bytearray()
+        self[unit] = packed
+        return packed
+
+    def turned(self) -> "Units":
+        """These units, or a new generation when they are many."""
+        if len(self) <= CACHE_UNITS:
+            return self
+        self.old = {}
+        return Units(self)
+
+    def settle(self, encode) -> None:
+        """Fill the buffers of unknown units from ``encode(list of units)``."""
+        waiting, self.pending = self.pending, {}
+        try:
+            for (unit, buffer), packed in zip(waiting.items(), encode(list(waiting)) if waiting else ()):
+                buffer.extend(packed)
+                self[unit] = packed
+        except BaseException:
+            for unit in waiting:
+                self.pop(unit, None)
+            raise
 
 
 class UnitEncoder:
@@ -41,7 +59,7 @@ class UnitEncoder:
 
     def __init__(self, encode_units, keep_space: bool):
         self.encode_units, self.keep_space = encode_units, keep_space
-        self.first, self.rest = Generations(), Generations()
+        self.first, self.rest = Units(), Units()
 
     def _cut(self, text: str) -> list[str]:
         if self.keep_space and (any(c in text for c in _ASCII_CASES) if text.isascii() else _SPACE_AFTER_SPACE.search(text)):
@@ -49,24 +67,20 @@ class UnitEncoder:
             return units[:1] + [u[1:] for u in units[1:]]
         return text.split(" ")
 
-    def _fill(self, known: Generations, wanted: set[str], lead: str) -> None:
-        missing = list(known.lacking(wanted))
-        if missing:
-            known.new.update(zip(missing, self.encode_units([lead + u for u in missing] if lead else missing)))
-
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cuts = [self._cut(t) for t in texts]
-        for known in (self.first, self.rest):
-            known.turn()
-        if not self.keep_space:
-            self._fill(self.rest, set().union(*cuts), "")
-            get = self.rest.new.__getitem__
-            return [b"".join(map(get, c)) for c in cuts]
-        self._fill(self.first, {c[0] for c in cuts}, "")
-        rests = [c[1:] for c in cuts]
-        self._fill(self.rest, set().union(*rests), " ")
-        get = self.rest.new.__getitem__
-        return [self.first.new[c[0]] + b"".join(map(get, r)) for c, r in zip(cuts, rests)]
+        self.first, self.rest = self.first.turned(), self.rest.turned()
+        first, rest = self.first.__getitem__, self.rest.__getitem__
+        if self.keep_space:
+            rows = []
+            for text in texts:
+                units = iter(self._cut(text))
+                rows.append([first(next(units)), *map(rest, units)])
+            self.first.settle(self.encode_units)
+            self.rest.settle(lambda units: self.encode_units([" " + u for u in units]))
+        else:
+            rows = [list(map(rest, self._cut(text))) for text in texts]
+            self.rest.settle(self.encode_units)
+        return [b"".join(r) for r in rows]
 
 
 def library_encoder(path: str, keep_space: bool) -> UnitEncoder:
@@ -88,8 +102,8 @@ def library_encoder(path: str, keep_space: bool) -> UnitEncoder:
         def encode_units(units: list[str]) -> list[bytes]:
             """Many units per library call, parted by a special token; units that spell a special token go alone."""
             out = []
-            for i in range(0, len(units), 4096):
-                some = units[i:i + 4096]
+            for i in range(0, len(units), CALL_UNITS):
+                some = units[i:i + CALL_UNITS]
                 text = mark.join(some)
                 if any(text.count(s) != (len(some) - 1) * (s == mark) for s in specials):
                     out.extend(np.array(e.ids, dtype="<u4").tobytes()
