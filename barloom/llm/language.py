@@ -31,7 +31,7 @@ MAX_LANGUAGES = 1_000
 CALIBRATION_DOCS = 5_000
 MARGIN = 8.0                     # standard deviations above the mean cross-entropy up to which no text is rejected
 SCORE_CHARS = 64
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 _SCORERS: dict[str, "Scorer"] = {}
 
