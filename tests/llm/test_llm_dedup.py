@@ -174,6 +174,38 @@ def test_line_dedup_against_brute_force(texts):
     assert line_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_line_dedup_leaves_no_run_of_any_earlier_document(spark):
+    ship_package(spark)
+    ones = [f"one {i} two three" for i in range(3)]                     # two of them make a block
+    long = [f"long line {i} of nine words in all here" for i in range(2)]
+    texts = ([f"{ones[0]}\nalone {i}" for i in range(3)] + [f"{ones[1]}\napart {i}" for i in range(3)]       # first holders of either line differ
+             + [f"mine {i}\n{ones[0]}\n{ones[1]}\nend {i}" for i in range(4)]
+             + [f"{long[1]}\n{long[0]}", *[f"{long[0]}\n{long[1]}\ntail {i}" for i in range(5)]]              # crossed in the first holder
+             + ["x\np q r s\nq r s t\np q r s\nq r s t\ny", "u\np q r s\nq r s t\np q r s\nq r s t\nv"])            # no unique common line
+    got = {r.doc_id: r.deleted for r in line_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {**{i: [] for i in range(7)}, **{i: [1, 2] for i in range(7, 10)}, 10: [], **{i: [0, 1] for i in range(11, 16)}, 16: [], 17: [1, 2, 3, 4]}
+    assert got == want
+
+
+def test_line_dedup_deletes_all_that_any_earlier_holder_aligns(spark):
+    ship_package(spark)
+    rng = random.Random(3)
+    lines = [" ".join([f"w{i}"] * rng.randint(0, 9)) for i in range(14)]
+    docs = [[rng.choice(lines) for _ in range(rng.randint(1, 9))] for _ in range(120)]
+    df = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: set(r.deleted) for r in line_dedup.deduplicate(df).collect()}
+    for i, d in enumerate(docs):
+        words, aligned, run = [len(x.split()) for x in d], set(), set()
+        for a in docs[:i]:
+            aligned |= set(line_dedup.common_blocks(a, d, words, 8))
+            for s in range(len(d)):
+                for e in range(s + 1, len(d) + 1):
+                    if sum(words[s:e]) >= 8 and any(a[k:k + e - s] == d[s:e] for k in range(len(a))):
+                        run |= set(range(s, e))
+        if any(d):
+            assert aligned <= got[i] == run
+
+
 def brute_links(v, ids, cosine):
     n = np.linalg.norm(v, axis=1)
     near = v @ v.T / np.outer(n, n) >= cosine
