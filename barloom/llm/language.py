@@ -7,7 +7,7 @@ all training texts are gathered on the cluster; lower orders follow from them
 model is a set of sorted arrays of packed n-grams with one column of
 probabilities and one of back-off weights per language; a text gets the
 language of lowest cross-entropy per predicted character, and is rejected when
-that lies far above what calibration texts of the language show.
+that lies far above what the training texts of the language show.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ ORDER = 4
 START, END = "\x02", "\x03"
 MODEL_CELLS = 1 << 24            # n-grams times languages of the fitted model
 MAX_LANGUAGES = 1_000
-CALIBRATION_DOCS = 5_000
 MARGIN = 8.0                     # standard deviations above the mean cross-entropy up to which no text is rejected
 SCORE_CHARS = 64
 CACHE_WORDS = 400_000
@@ -212,15 +211,16 @@ def verdicts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np
     return best, score, cross, reject
 
 
-def train(docs: DataFrame, model_cells: int = MODEL_CELLS, calibration_docs: int = CALIBRATION_DOCS) -> Model:
+def train(docs: DataFrame, model_cells: int = MODEL_CELLS) -> Model:
     """Fit on all rows of ``docs`` (``doc_id, text, lang``) with text and lang.
 
     The four-gram counts cover every text.  The model keeps, per language, the
     grams above the least count that brings it within ``model_cells`` divided by
     the square of the number of languages, so what reaches the driver is
     bounded; more than ``MAX_LANGUAGES`` values of lang raise ValueError.
-    Rejection limits come from about ``calibration_docs`` texts chosen by a hash
-    of the id.  Without any labelled text the model has no language.
+    Rejection limits come from all rightly predicted training texts of a
+    language; one without any gets the floor of all languages' mean.  Without
+    any labelled text the model has no language.
     """
     from barloom.llm.common import stored
 
@@ -250,9 +250,7 @@ def train(docs: DataFrame, model_cells: int = MODEL_CELLS, calibration_docs: int
         order = np.argsort(keys)
         per.append((keys[order], k.n.to_numpy(np.int64)[order]))
     model = Model(langs, per)
-    total = rows.count()
-    share = min(1.0, calibration_docs / max(total, 1))
-    some = rows.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text", "lang")
+    some = rows.select("text", "lang")
     shared = some.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +262,13 @@ def train(docs: DataFrame, model_cells: int = MODEL_CELLS, calibration_docs: int
                 yield pa.RecordBatch.from_arrays([pa.array(best[right]), pa.array(cross[right])], ["best", "h"])
 
     model_langs = langs
-    stats = some.mapInArrow(run, "best long, h double").groupBy("best").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect()
+    stats = (some.mapInArrow(run, "best long, h double").groupBy("best")
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect())     # a row per language
+    unknown = -np.log(model.uniform)
+    right = sum(r.n for r in stats)
+    model.limits[:] = ((sum(r.n * r.m for r in stats) / right if right else unknown) + 2 * unknown) / 3
     for r in stats:
-        model.limits[r.best] = max(r.m + MARGIN * r.s, (r.m - 2 * np.log(model.uniform)) / 3)     # two thirds of the way to knowing nothing, at least
+        model.limits[r.best] = max(r.m + MARGIN * r.s, (r.m + 2 * unknown) / 3)     # two thirds of the way to knowing nothing, at least
     model.key = uuid.uuid4().hex
     return model
 

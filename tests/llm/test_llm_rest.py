@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,25 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in language.predict(df, none).collect()} == {"und"} and language.accepted(df, none).count() == 0
 
 
+def test_rejection_limits_come_from_all_training_rows(spark):
+    ship_package(spark)
+    text = lambda i: f"{'abcdefgh'[i % 8]}a {'klmnop'[i % 6]}o {'rstu'[i % 4] * (1 + i % 3)}"
+    rows = [(i, text(i), "one") for i in range(7000)] + [(i, f"zyx {'vw'[i % 2]}yx", "rare") for i in range(7000, 7003)] \
+        + [(10_000 + i, text(i), "twin") for i in range(7000)]               # never predicted: equal counts, and the first wins
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language.train(df)
+    h = {}
+    for r in language.predict(df, m).join(df.select("doc_id", "lang"), "doc_id").filter("lang = lang_pred").collect():
+        h.setdefault(r.lang, []).append(r.cross_entropy)
+    unknown, every = -np.log(m.uniform), [x for xs in h.values() for x in xs]
+    missing = set(m.langs) - set(h)
+    assert len(missing) == 1 and len(h["rare"]) == 3
+    for lang, limit in zip(m.langs, m.limits):
+        own = h.get(lang)
+        want = (np.mean(every) + 2 * unknown) / 3 if own is None else max(np.mean(own) + language.MARGIN * np.std(own), (np.mean(own) + 2 * unknown) / 3)
+        assert np.isclose(limit, want, rtol=1e-9)
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = entry.queries()["op9_kneser_ney_language"](spark, SF).collect()
