@@ -134,13 +134,13 @@ def correlation_matrix(rets: DataFrame, blocks: int = 1) -> DataFrame:
 
 
 def rolling_correlation_matrix(bars: DataFrame, window: int = 30, step: int = 10,
-                               block_rows: int = 4096) -> DataFrame:
-    """Correlation of every pair a < b over ``window`` aligned rows, every ``step`` rows.
+                               block_rows: int = 4096, symbols: list[str] | None = None) -> DataFrame:
+    """Correlation of every pair a < b of ``symbols`` (all by default) over ``window`` aligned rows, every ``step`` rows.
 
     The aligned panel is cut in runs of timestamps with a halo; each run is one
     matrix and only the stamped windows are emitted.
     """
-    aligned = common_ts(bars.select("symbol", "ts", "close"))
+    aligned = common_ts(bars.select("symbol", "ts", "close"), symbols=symbols)
     r = framed(aligned, time_series(("symbol",), ("ts",), 365 * 86_400), lookback=1)
     prev = F.lag("close").over(r.w)
     r = r.with_columns(ret=F.when(prev == 0, 0.0).otherwise(F.col("close") / prev - 1)).body().filter("ret is not null")

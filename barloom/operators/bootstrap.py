@@ -97,9 +97,9 @@ def bootstrap_drawdown(rets: DataFrame, sims: int = 200, horizon: int | None = N
     return g.join(q, key)
 
 
-def bootstrap_scenarios(rets: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Joint scenarios: the returns of all symbols at a drawn common timestamp."""
-    al = common_ts(rets.select("symbol", "ts", "ret"))
+def bootstrap_scenarios(rets: DataFrame, n: int, seed: int = 42, symbols: list[str] | None = None) -> DataFrame:
+    """Joint scenarios: the returns of ``symbols`` (all by default) at a drawn common timestamp."""
+    al = common_ts(rets.select("symbol", "ts", "ret"), symbols=symbols)
     stamps = framed(al.select("ts").distinct().withColumn("_all", F.lit(0)), TS_SERIES).body(keep_rn=True).select(
         "ts", (F.col("_rn") - 1).alias("i"), F.col("_n").alias("n"))
     size = stamps.agg(F.max("n").alias("n"))

@@ -45,12 +45,13 @@ def factor_returns(rets: DataFrame, chars: DataFrame, market: DataFrame | None =
     return out.join(g, "ts")
 
 
-def factor_returns_store(rets: DataFrame, size: DataFrame, lookback: int = 20) -> DataFrame:
-    """Market, SMB and trailing-sum momentum per common ts; needs four symbols.
+def factor_returns_store(rets: DataFrame, size: DataFrame, lookback: int = 20, symbols: list[str] | None = None) -> DataFrame:
+    """Market, SMB and trailing-sum momentum per common ts of ``symbols`` (all by default); needs four symbols.
 
-    ``size`` has symbol and size (market cap or mean volume).
+    ``size`` has symbol and size (market cap or mean volume); symbols not asked for do not count in its halves.
     """
-    al = common_ts(rets.select("symbol", "ts", "ret"))
+    al = common_ts(rets.select("symbol", "ts", "ret"), symbols=symbols)
+    size = size if symbols is None else size.filter(F.col("symbol").isin(symbols))
     n_sym = al.agg(F.count_distinct("symbol").alias("_ns"))
     al = with_row(al, n_sym).filter("_ns >= 4")
     fr = framed(al, SYMBOL_SERIES, lookback=lookback + 1)
@@ -96,9 +97,21 @@ def both_triangles(cov: DataFrame) -> DataFrame:
 
 
 def covariance(rets: DataFrame, method: str = "sample", half_life: float = 30.0,
-               target: str = "identity", blocks: int = 1) -> DataFrame:
-    """Covariance of every pair a <= b on the common timestamps: a, b, cov, n."""
-    al = common_ts(rets.select("symbol", "ts", "ret"))
+               target: str = "identity", blocks: int = 1, symbols: list[str] | None = None,
+               pairwise: bool = False) -> DataFrame:
+    """Covariance of every pair a <= b on the timestamps common to ``symbols`` (all by default): a, b, cov, n.
+
+    ``pairwise`` (sample method only) takes each pair's own common timestamps
+    instead, so a late listing shortens its own pairs and no others; n is then
+    the pair's, cov is null below two rows, and the matrix need not be positive
+    semidefinite.
+    """
+    if pairwise:
+        if method != "sample":
+            raise ValueError("pairwise moments are offered for the sample covariance only")
+        rets = rets if symbols is None else rets.filter(F.col("symbol").isin(symbols))
+        return pair_moments(rets, blocks=blocks).select("a", "b", F.when(F.col("n") > 1, covar_of()).alias("cov"), "n")
+    al = common_ts(rets.select("symbol", "ts", "ret"), symbols=symbols)
     if method == "exponential":
         mu = al.groupBy("symbol").agg(F.avg("ret").alias("mu"))
         stamps = framed(al.select("ts").distinct().withColumn("_all", F.lit(0)), TS_SERIES).body(keep_rn=True)
@@ -134,8 +147,8 @@ def covariance(rets: DataFrame, method: str = "sample", half_life: float = 30.0,
     return with_row(s, tot).select("a", "b", (k * F.col("goal") + (1 - k) * c).alias("cov"), "n", k.alias("intensity"))
 
 
-def pca(rets: DataFrame, k: int = 5) -> DataFrame:
-    """Loadings and explained variance of the leading components of the aligned panel.
+def pca(rets: DataFrame, k: int = 5, symbols: list[str] | None = None) -> DataFrame:
+    """Loadings and explained variance of the leading components of the aligned panel of ``symbols`` (all by default).
 
     Rows are summed into one symbols x symbols matrix by the cluster; only that
     matrix is decomposed. The sign is fixed by the largest loading.
@@ -143,7 +156,7 @@ def pca(rets: DataFrame, k: int = 5) -> DataFrame:
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    al = common_ts(rets.select("symbol", "ts", "ret"))
+    al = common_ts(rets.select("symbol", "ts", "ret"), symbols=symbols)
     names = [r.symbol for r in al.select("symbol").distinct().orderBy("symbol").collect()]
     wide = al.groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("symbol", "ret"))).alias("r"))
     vec = wide.select(array_to_vector(F.transform("r", lambda s: s.ret)).alias("x"))

@@ -20,9 +20,9 @@ SYMBOL_SERIES = time_series(("symbol",), ("ts",), bucket_seconds=86_400)
 PARTS = [f + g for f in "xld" for g in "xld"]
 
 
-def pair_gram(bars: DataFrame, price: str = "close", blocks: int = 1) -> DataFrame:
+def pair_gram(bars: DataFrame, price: str = "close", blocks: int = 1, symbols: list[str] | None = None) -> DataFrame:
     """Per pair a < b: sizes, means and cross moments of level (x), lag (l) and change (d), centred by symbol."""
-    al = common_ts(bars.select("symbol", "ts", F.col(price).alias("p")))
+    al = common_ts(bars.select("symbol", "ts", F.col(price).alias("p")), symbols=symbols)
     mu = al.groupBy("symbol").agg(F.avg("p").alias("mu"))
     fr = framed(al.join(mu, "symbol").withColumn("x", F.col("p") - F.col("mu")), SYMBOL_SERIES, lookback=1)
     rows = fr.with_columns(l=F.lag("x").over(fr.w)).body().withColumn("d", F.col("x") - F.col("l"))
@@ -50,9 +50,9 @@ def pair_gram(bars: DataFrame, price: str = "close", blocks: int = 1) -> DataFra
     return g.join(a, "a").join(b, "b")
 
 
-def pair_stats(bars: DataFrame, price: str = "close", blocks: int = 1) -> DataFrame:
+def pair_stats(bars: DataFrame, price: str = "close", blocks: int = 1, symbols: list[str] | None = None) -> DataFrame:
     """Correlation, hedge ratios, residual unit-root test, half-life and trace statistics of every pair."""
-    g = pair_gram(bars, price, blocks).filter("n >= 10")
+    g = pair_gram(bars, price, blocks, symbols).filter("n >= 10")
     c = F.col
     n, m = c("n"), c("m")
     vaa, vbb = c("q_ax") - c("s_ax") * c("s_ax") / n, c("q_bx") - c("s_bx") * c("s_bx") / n

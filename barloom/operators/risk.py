@@ -270,11 +270,12 @@ def inverse_vol(rets: DataFrame) -> DataFrame:
     return with_row(g, g.agg(F.sum("_i").alias("_t"))).select("symbol", safe_div(F.col("_i"), F.col("_t"), 0.0).alias("weight"))
 
 
-def risk_report(rets: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """Per symbol with equal weights: return statistics, component VaR and share of the portfolio VaR."""
+def risk_report(rets: DataFrame, confidence: float = 0.95, symbols: list[str] | None = None, pairwise: bool = False) -> DataFrame:
+    """Per symbol of ``symbols`` (all by default) with equal weights: return statistics, component VaR and share of the portfolio VaR."""
     from .factors import covariance
     from .stats import series_stats
 
+    rets = rets if symbols is None else rets.filter(F.col("symbol").isin(symbols))
     w = equal_weight(rets)
     s = series_stats(rets, ("symbol",)).select("symbol", "n_obs", "mean", "annualized_vol", "sharpe")
-    return s.join(component_var(covariance(rets), w, confidence), "symbol")
+    return s.join(component_var(covariance(rets, pairwise=pairwise), w, confidence), "symbol")

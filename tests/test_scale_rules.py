@@ -70,3 +70,30 @@ def test_common_timestamps_of_the_symbols_asked_for(spark):
 
     df = hourly(spark, 10).union(hourly(spark, 8, "B")).union(hourly(spark, 1, "LATE"))
     assert common_ts(df).count() == 3 and common_ts(df, symbols=["A", "B"]).count() == 16
+
+
+def test_a_late_listing_empties_no_panel(spark):
+    import numpy as np
+    import pandas as pd
+
+    from barloom.operators import align, bootstrap, factors, pairs, risk
+
+    rng, hours = np.random.default_rng(4), pd.date_range("2024-01-01", periods=80, freq="h")
+    pdf = pd.concat([pd.DataFrame({"symbol": s, "ts": t, "ret": rng.normal(0, 0.01, len(t)), "close": rng.uniform(90, 110, len(t))})
+                     for s, t in [("A", hours), ("B", hours), ("C", hours), ("D", hours), ("LATE", hours[-1:] + pd.Timedelta("1h"))]])
+    df, old = spark.createDataFrame(pdf), ["A", "B", "C", "D"]
+    want = pdf[pdf.symbol != "LATE"].pivot(index="ts", columns="symbol", values="ret").cov()
+    assert factors.covariance(df).count() == 0
+    for rows in (factors.covariance(df, symbols=old), factors.covariance(df, pairwise=True)):
+        got = {(r.a, r.b): (r["cov"], r.n) for r in rows.collect() if "LATE" not in (r.a, r.b)}
+        assert len(got) == 10 and all(np.isclose(c, want.loc[a, b]) and n == 80 for (a, b), (c, n) in got.items())
+    for kind in ("exponential", "shrinkage"):
+        assert factors.covariance(df, kind, symbols=old).count() == 10
+    size = df.groupBy("symbol").agg({"close": "avg"}).toDF("symbol", "size")
+    assert factors.factor_returns_store(df, size, symbols=old).count() == 80
+    assert {r.symbol for r in factors.pca(df, 2, symbols=old).collect()} == set(old)
+    assert bootstrap.bootstrap_scenarios(df, 7, symbols=old).count() == 28
+    assert align.rolling_correlation_matrix(df, symbols=old).count() > 0
+    assert pairs.pair_stats(df, symbols=old).count() == 6
+    assert {r.symbol for r in risk.risk_report(df, symbols=old).collect()} == set(old)
+    assert {r.symbol for r in risk.risk_report(df, pairwise=True).collect()} >= set(old)
