@@ -186,6 +186,12 @@ query("schedule_vwap", "order_id slice slice_amount:6 weight:6",
          .001) AS v FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count(*) OVER (PARTITION BY symbol)
          AS n FROM bars) WHERE (rn-1)//(n//4) < 4 GROUP BY 1,2) USING (symbol)""", ctes("bars", more=PAR))(
     lambda s, d: X.schedule_vwap(parents(s, d), V.bars(s, d), 4).withColumn("slice", F.col("slice").cast("long")))
+query("schedule_vwap_whole", "order_id slice slice_amount:6 weight:6",
+      """SELECT order_id, sl AS slice, amount*v/sum(v) OVER (PARTITION BY order_id) AS slice_amount,
+         v/sum(v) OVER (PARTITION BY order_id) AS weight FROM par JOIN (SELECT symbol, least((rn-1)//greatest(n//4, 1)+1, 4) AS sl,
+         greatest(sum(volume), .001) AS v FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn,
+         count(*) OVER (PARTITION BY symbol) AS n FROM bars) GROUP BY 1,2) USING (symbol)""", ctes("bars", more=PAR))(
+    lambda s, d: X.schedule_vwap(parents(s, d), V.bars(s, d), 4, whole=True).withColumn("slice", F.col("slice").cast("long")))
 query("schedule_iceberg", "order_id clip_no clip_amount:6 n_clips",
       """SELECT order_id, k AS clip_no, CASE WHEN amount<100 THEN amount WHEN k<=floor(amount/100) THEN 100 ELSE
          amount-floor(amount/100)*100 END AS clip_amount, m AS n_clips FROM (SELECT *, unnest(range(1, m+1)) AS k FROM (SELECT *,

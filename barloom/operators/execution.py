@@ -36,11 +36,12 @@ def schedule_twap(orders: DataFrame, slices: int) -> DataFrame:
         "slice_amount", F.col("amount") / slices)
 
 
-def volume_curve(bars: DataFrame, slices: int, series: Series = BAR_SERIES) -> DataFrame:
-    """Share of volume in ``slices`` equal groups of bars; trailing bars beyond n * size are ignored."""
+def volume_curve(bars: DataFrame, slices: int, series: Series = BAR_SERIES, whole: bool = False) -> DataFrame:
+    """Share of volume in ``slices`` equal groups of bars; trailing bars beyond n * size are ignored, or if ``whole`` in the last slice."""
     rows = framed(bars, series).body(keep_rn=True)
     size = F.greatest(F.lit(1), F.floor(F.col("_n") / slices))
-    s = rows.withColumn("slice", (F.floor((F.col("_rn") - 1) / size) + 1).cast("int")).filter(F.col("slice") <= slices)
+    at = (F.floor((F.col("_rn") - 1) / size) + 1).cast("int")
+    s = rows.withColumn("slice", F.least(at, F.lit(slices)) if whole else at).filter(F.col("slice") <= slices)
     key = list(series.key)
     got = s.groupBy(*key, "slice").agg(F.sum("volume").alias("_v"))
     dense = bars.select(*key).distinct().withColumn("slice", F.explode(F.sequence(F.lit(1), F.lit(slices))))
@@ -49,9 +50,9 @@ def volume_curve(bars: DataFrame, slices: int, series: Series = BAR_SERIES) -> D
     return c.join(total, key).withColumn("weight", F.col("_v") / F.col("_t")).drop("_v", "_t")
 
 
-def schedule_vwap(orders: DataFrame, bars: DataFrame, slices: int, series: Series = BAR_SERIES) -> DataFrame:
-    """Slices weighted by the volume curve of the order's symbol."""
-    curve = volume_curve(bars, slices, series).select("symbol", "slice", "weight")
+def schedule_vwap(orders: DataFrame, bars: DataFrame, slices: int, series: Series = BAR_SERIES, whole: bool = False) -> DataFrame:
+    """Slices weighted by the volume curve of the order's symbol (``whole``: of all its bars)."""
+    curve = volume_curve(bars, slices, series, whole).select("symbol", "slice", "weight")
     step = F.col("duration_min") * 60_000_000 / slices
     return orders.join(curve, "symbol").withColumn("slice_amount", F.col("amount") * F.col("weight")).withColumn(
         "scheduled", F.timestamp_micros((F.unix_micros("ts") + (F.col("slice") - 1) * step).cast("long")))

@@ -97,3 +97,15 @@ def test_a_late_listing_empties_no_panel(spark):
     assert pairs.pair_stats(df, symbols=old).count() == 6
     assert {r.symbol for r in risk.risk_report(df, symbols=old).collect()} == set(old)
     assert {r.symbol for r in risk.risk_report(df, pairwise=True).collect()} >= set(old)
+
+
+def test_the_whole_volume_curve_keeps_the_newest_bars(spark):
+    import pandas as pd
+
+    from barloom.operators import execution
+
+    bars = spark.createDataFrame(pd.DataFrame({"symbol": "A", "exchange": "x", "interval": "1h", "volume": 1.0,
+                                               "ts": pd.date_range("2024-01-01", periods=39, freq="h"), "seq": range(39)}))
+    curve = lambda whole: [r.weight for r in execution.volume_curve(bars, 20, whole=whole).orderBy("slice").collect()]
+    assert curve(False) == [1 / 20] * 20
+    assert curve(True) == [1 / 39] * 19 + [20 / 39]
