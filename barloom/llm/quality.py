@@ -154,8 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at] * seen), pa.array([seen] + [0] * (len(at) - 1))],
                                              ["feature", "weight", "seen"])
 
-    dealt = (rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(shards)))
-             .repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id"))
+    dealt = rows.repartition(shards, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     sums = dealt.select("text", "label").mapInArrow(run, "feature long, weight double, seen long")
     got = stored(sums, "quality-weights").groupBy("feature").agg(F.sum("weight").alias("weight"), F.sum("seen").alias("seen"))\
         .orderBy("feature").toPandas()                         # at most 2 ** BITS rows
