@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import normal_cdf
 from ..plans.blocks import Series, framed
+from ..plans.lineage import cut
 from ..sources.views import BAR_SERIES
 
 INF = float("inf")
@@ -158,13 +160,46 @@ def variance_ratio(df: DataFrame, x: str = "close", periods=(2, 5, 10, 20), seri
     return e.withColumn("p_value", 2 * (1 - normal_cdf(F.abs("z")))).drop("r1", "v")
 
 
+def spaced(cand: DataFrame, key: list[str], pos: str, gap: str) -> DataFrame:
+    """``cand`` without rows closer than ``gap`` to the last kept one of their key: greedy from the first, in ``pos`` order.
+
+    Each row points to the first row beyond its gap.  A row whose predecessor is
+    further away than the gap is always kept, so only stretches of close rows
+    depend on each other; the rows kept in them follow from doubling the
+    pointers, with as many joins on (key, pos) as the longest stretch has
+    doublings of kept rows.  No group of rows meets in a task.
+    """
+    cand = cut(cand.select(*key, F.col(pos).alias("_p"), F.col(gap).alias("_g")).distinct())
+    # first row behind _p + _g: the last one met before it when walking from the end
+    ask = cand.select(*key, (-(F.col("_p") + F.col("_g"))).alias("_at"), F.lit(0).alias("_kind"), F.col("_p").alias("_q"))
+    row = cand.select(*key, (-F.col("_p")).alias("_at"), F.lit(1).alias("_kind"), F.col("_p").alias("_q"))
+    order = Series(tuple(key), ("_at", "_kind", "_q"), lambda: F.floor(F.col("_at") / 65_536))
+    own = F.when(F.col("_kind") == 1, F.col("_q"))
+    fr = framed(ask.unionByName(row), order, carry={"n": ("last", own)})
+    hop = fr.with_columns(_to=fr.running("n", "last", own)).body().filter("_kind = 0").select(*key, F.col("_q").alias("_p"), "_to")
+    fr = framed(cand, Series(tuple(key), ("_p",), lambda: F.floor(F.col("_p") / 65_536)), lookback=1)
+    prev = F.lag("_p").over(fr.w)
+    heads = fr.with_columns(_free=prev.isNull() | (F.col("_p") - prev > F.col("_g"))).body().select(*key, "_p", "_free")
+    kept = cut(heads.filter("_free").select(*key, "_p"))
+    free = kept.withColumnRenamed("_p", "_to").withColumn("_end", F.lit(True))
+    # pointers to rows that are kept anyway need no following
+    hop = cut(hop.filter("_to is not null").join(free, [*key, "_to"], "left").filter("_end is null").drop("_end"))
+    while not hop.isEmpty():
+        met = kept.join(hop, [*key, "_p"]).select(*key, F.col("_to").alias("_p"))
+        kept = cut(kept.unionByName(met).distinct())
+        ahead = hop.select(*key, F.col("_p").alias("_to"), F.col("_to").alias("_far"))
+        hop = cut(hop.join(ahead, [*key, "_to"]).select(*key, "_p", F.col("_far").alias("_to")))
+    return kept.select(*key, F.col("_p").alias(pos))
+
+
 def regime_change(df: DataFrame, x: str = "close", window: int | None = None, threshold: float = 1.5,
                   series: Series = BAR_SERIES) -> DataFrame:
     """Change points of the rolling mean and deviation, spaced by half a window, with labelled regimes.
 
     The window may be a tenth of the series, so rolling moments are differences
-    of running sums met by an equi join on the row number. Only the (rare) jump
-    rows of a series are then walked in order to apply the spacing.
+    of running sums met by an equi join on the row number.  Jumps are spaced by
+    ``spaced``; a running count of the kept ones numbers the segments, and a
+    kept jump ends one segment and begins the next.
     """
     key = list(series.key)
     y = centred(df, x, series).withColumn("_q", F.col("_y") * F.col("_y"))
@@ -173,55 +208,46 @@ def regime_change(df: DataFrame, x: str = "close", window: int | None = None, th
     fr = fr.with_columns(s=fr.running("s", "sum", F.col("_y")), q=fr.running("q", "sum", F.col("_q")), d=d)
     rows = fr.with_columns(dp=F.lag("d").over(fr.w)).body(keep_rn=True).withColumnsRenamed({"_rn": "rn", "_n": "n"})
     w = F.lit(window).cast("long") if window else F.greatest(F.lit(20), F.floor(F.col("n") / 10))
-    rows = rows.withColumn("w", w).filter("n >= 2 * w")
+    rows = cut(rows.withColumn("w", w).filter("n >= 2 * w").select(*key, "rn", "n", "w", "_y", "_mu", "s", "q", "d", "dp"))
     past = rows.select(*key, (F.col("rn") + F.col("w")).alias("rn"), F.col("s").alias("s0"), F.col("q").alias("q0"))
     roll = rows.filter("rn >= w").join(past, [*key, "rn"], "left").na.fill(0.0, ["s0", "q0"])
     m = (F.col("s") - F.col("s0")) / F.col("w")
     var = (F.col("q") - F.col("q0") - F.col("w") * m * m) / (F.col("w") - 1)
-    roll = roll.select(*key, *series.order, "rn", "n", "w", m.alias("m"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("v"))
+    roll = roll.select(*key, "rn", "w", m.alias("m"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("v"))
     avg = roll.groupBy(*key).agg(F.avg("v").alias("avg_v"))
-    fr = framed(roll.join(avg, key), series, lookback=1)
+    by_row = Series(series.key, ("rn",), lambda: F.floor(F.col("rn") / 4096))
+    fr = framed(roll.join(avg, key), by_row, lookback=1)
     av = F.when(F.col("avg_v") == 0, 1.0).otherwise(F.col("avg_v"))
     jump = (F.abs(F.col("v") - F.lag("v").over(fr.w)) / av > threshold * 0.5) | (
         F.abs(F.col("m") - F.lag("m").over(fr.w)) / av > threshold)
-    cand = fr.with_columns(_j=jump).body().filter("_j").select(*key, "rn", "n", "w", "avg_v")
-
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    def spaced(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for r in sorted(pdf["rn"]):
-            if last is None or r - last > pdf["w"].iloc[0] / 2:
-                kept.append(int(r))
-                last = r
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "cps": [kept]})
-
-    cps = cand.groupBy(*key).applyInPandas(spaced, T.StructType(
-        [df.schema[k] for k in key] + [T.StructField("cps", T.ArrayType(T.LongType()))]))
-    base = rows.groupBy(*key).agg(F.max("n").alias("n")).join(avg, key).join(cps, key, "left")
-    edges = F.concat(F.array(F.lit(1).cast("long")), F.coalesce("cps", F.array().cast("array<bigint>")), F.array(F.col("n")))
-    segs = base.withColumn("edges", F.array_distinct(edges))
-    pos = F.size(F.filter("edges", lambda e: e <= F.col("rn")))
-    laid = rows.drop("n").join(segs.select(*key, "edges", "avg_v", "n"), key).withColumn("seg", F.least(
-        pos, F.size("edges") - 1))
-    shared = (F.array_position("edges", F.col("rn")) > 1) & (F.col("rn") < F.col("n"))
-    laid = laid.withColumn("seg", F.explode(F.when(shared, F.array(F.col("seg"), F.col("seg") - 1)).otherwise(
-        F.array(F.col("seg")))))
-    start = F.get("edges", F.col("seg") - 1)
-    laid = laid.withColumn("d1", F.when(F.col("rn") > start, F.col("d"))).withColumn(
-        "dp1", F.when(F.col("rn") > start + 1, F.col("dp")))
+    cand = fr.with_columns(_j=jump).body().filter("_j").select(*key, "rn", F.floor(F.col("w") / 2).alias("gap"))
+    edges = spaced(cand, key, "rn", "gap").withColumn("_edge", F.lit(True))
+
+    flag = F.when((F.col("rn") < F.col("n")) & (F.coalesce("_edge", F.lit(False)) | (F.col("rn") == 1)), 1).otherwise(0)
+    marked = rows.join(edges, [*key, "rn"], "left").withColumn("f", flag).drop("_edge")
+    begun = F.when(F.col("f") == 1, F.col("rn"))
+    fr = framed(marked, by_row, carry={"seg": ("sum", F.col("f")), "start": ("last", begun)})
+    past_rows = fr.w.rowsBetween(Window.unboundedPreceding, -1)
+    laid = fr.with_columns(seg=fr.running("seg", "sum", F.col("f")),
+                           start=F.coalesce(F.last(begun, ignorenulls=True).over(past_rows), F.col("_c_start"))).body()
+    both = (F.col("f") == 1) & (F.col("rn") > 1)
+    own = F.struct("seg", F.when(F.col("f") == 1, F.col("rn")).otherwise(F.col("start")).alias("start"))
+    last = F.struct((F.col("seg") - 1).alias("seg"), "start")
+    laid = laid.withColumn("at", F.explode(F.when(both, F.array(own, last)).otherwise(F.array(own)))) \
+        .drop("seg", "start").select("*", "at.seg", "at.start")
+    laid = laid.withColumn("d1", F.when(F.col("rn") > F.col("start"), F.col("d"))).withColumn(
+        "dp1", F.when(F.col("rn") > F.col("start") + 1, F.col("dp")))
     md = F.avg("d1")
     k = F.count("d1")
     c0 = F.sum(F.col("d1") * F.col("d1")) - k * md * md
-    both = F.col("dp1").isNotNull()
-    c1 = (F.sum(F.when(both, F.col("d1") * F.col("dp1"))) - md * F.sum(F.when(both, F.col("d1")))
+    has = F.col("dp1").isNotNull()
+    c1 = (F.sum(F.when(has, F.col("d1") * F.col("dp1"))) - md * F.sum(F.when(has, F.col("d1")))
           - md * F.sum("dp1") + F.count("dp1") * md * md)
     g = laid.groupBy(*key, "seg").agg(
         F.min("rn").alias("start"), F.max("rn").alias("end"), (F.avg("_y") + F.max("_mu")).alias("mean"),
-        F.coalesce(F.stddev_samp("_y"), F.lit(0.0)).alias("vol"), F.max("avg_v").alias("_av"), k.alias("_k1"),
-        F.when(c0 > 0, c1 / c0).otherwise(0.0).alias("_r1"))
-    v, a = F.col("vol"), F.col("_av")
+        F.coalesce(F.stddev_samp("_y"), F.lit(0.0)).alias("vol"), k.alias("_k1"),
+        F.when(c0 > 0, c1 / c0).otherwise(0.0).alias("_r1")).join(avg, key)
+    v, a = F.col("vol"), F.col("avg_v")
     return g.withColumn("label", F.when(v > 1.3 * a, "high_vol").when(v < 0.7 * a, "low_vol").when(
         F.col("_k1") < 3, "low_vol").when(F.col("_r1") > 0.1, "trending").otherwise("mean_reverting")).drop(
-        "_av", "_k1", "_r1")
+        "avg_v", "_k1", "_r1")
