@@ -11,11 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import half_up, safe_div
 from ..plans.blocks import Series, framed, time_series
+from ..plans.lineage import cut
 from ..plans.rank import with_row
 from ..sources.views import BAR_SERIES
 
@@ -42,70 +42,130 @@ def pivot_align(bars: DataFrame, symbols: list[str] | None = None, value: str =
     return wide.dropna()
 
 
+TILE_SYMBOLS = 1_024            # symbols on each side of a tile: six matrices of 8 MB in a task
+TILE_ROWS = 4_000_000           # rows a task brings together for one tile
+
+
+def tile_plan(n_symbols: int, n_rows: int, parts: int, side: int = TILE_SYMBOLS) -> tuple[int, int]:
+    """Symbol groups and timestamp chunks: groups of about ``side`` symbols, chunks of about ``TILE_ROWS`` rows of a tile.
+
+    Each pair of groups is a tile.  Few tiles are cut in more chunks, so that all ``parts`` tasks have work.
+    """
+    groups = max(1, -(-n_symbols // side))
+    rows = n_rows * (2 if groups > 1 else 1) // groups
+    return groups, max(1, -(-rows // TILE_ROWS), -(-parts // (groups * (groups + 1) // 2)))
+
+
+def tiled(df: DataFrame, groups: int, symbol: str = "s") -> DataFrame:
+    """``df`` with the group ``g`` of its symbol, once for each tile ``p`` = lesser group * groups + greater group."""
+    df = df.withColumn("g", F.pmod(F.xxhash64(symbol), F.lit(groups)))
+    df = df.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    return df.withColumn("p", F.least("g", "_o") * groups + F.greatest("g", "_o")).drop("_o")
+
+
+class Tile:
+    """Moments of the pairs between the symbols of two groups (or within one), added up from dense blocks of rows."""
+
+    def __init__(self, same: bool):
+        self.same, self.left, self.right = same, {}, {}
+        self.sums = [np.zeros((0, 0)) for _ in range(6)]
+
+    @staticmethod
+    def dense(index: dict, s: np.ndarray, t: np.ndarray, v: np.ndarray, height: int) -> tuple[np.ndarray, np.ndarray]:
+        names, at = np.unique(s, return_inverse=True)
+        for name in names:
+            index.setdefault(name, len(index))
+        x = np.full((height, len(index)), np.nan)
+        x[t, np.array([index[n] for n in names], int)[at]] = v      # of equal (symbol, ts), the last
+        there = ~np.isnan(x)
+        return np.where(there, x, 0.0), there.astype(float)
+
+    def add(self, s: np.ndarray, t: np.ndarray, v: np.ndarray, in_left: np.ndarray) -> None:
+        stamps, at = np.unique(t, return_inverse=True)
+        for lo in range(0, len(stamps), 4096):
+            here = (at >= lo) & (at < lo + 4096)
+            height = min(4096, len(stamps) - lo)
+            pick = here & in_left
+            x, m = self.dense(self.left, s[pick], at[pick] - lo, v[pick], height)
+            y, k = x, m
+            if not self.same:
+                pick = here & ~in_left
+                y, k = self.dense(self.right, s[pick], at[pick] - lo, v[pick], height)
+            shape = (x.shape[1], y.shape[1])
+            for i, prod in enumerate((m.T @ k, x.T @ k, m.T @ y, (x * x).T @ k, m.T @ (y * y), x.T @ y)):
+                old = self.sums[i]
+                if old.shape != shape:
+                    old = np.pad(old, ((0, shape[0] - old.shape[0]), (0, shape[1] - old.shape[1])))
+                self.sums[i] = old + prod
+
+    def rows(self):
+        """Frames ``a, b, n, sa, sb, saa, sbb, sab`` with a <= b, some left symbols at a time."""
+        left = np.array(list(self.left), dtype=object)
+        right = left if self.same else np.array(list(self.right), dtype=object)
+        step = max(1, 200_000 // max(1, len(right)))
+        for lo in range(0, len(left), step):
+            n = self.sums[0][lo:lo + step]
+            i, j = np.nonzero(n > 0)
+            a, b = left[lo + i], right[j]
+            turn = a > b
+            if self.same:
+                i, j, a, b = i[~turn], j[~turn], a[~turn], b[~turn]
+                turn = np.zeros(len(a), bool)
+            _, sx, sy, sxx, syy, sxy = (m[lo + i, j] for m in self.sums)
+            yield pd.DataFrame({"a": np.where(turn, b, a), "b": np.where(turn, a, b), "n": n[i, j].astype("int64"),
+                                "sa": np.where(turn, sy, sx), "sb": np.where(turn, sx, sy), "saa": np.where(turn, syy, sxx),
+                                "sbb": np.where(turn, sxx, syy), "sab": sxy})
+
+
+def tile_moments(batches, groups: int):
+    """Moments of all pairs of the tiles in rows (s, t, v, g, p, c) sorted by tile, chunk and timestamp; one tile is held at a time."""
+    tile, at, carry = None, None, None
+
+    def add(pdf: pd.DataFrame) -> None:
+        tile.add(pdf["s"].to_numpy(), pdf["t"].to_numpy(), pdf["v"].to_numpy(), (pdf["g"] == at[0] // groups).to_numpy())
+
+    for pdf in batches:
+        for key, part in pdf.groupby(["p", "c"], sort=False):
+            if key != at:
+                if tile is not None:
+                    add(carry)
+                    yield from tile.rows()
+                tile, at, carry = Tile(key[0] // groups == key[0] % groups), key, part
+                continue
+            part = pd.concat([carry, part])
+            unfinished = (part["t"] == part["t"].iloc[-1]).to_numpy()      # the next batch may go on with this timestamp
+            carry = part[unfinished]
+            if not unfinished.all():
+                add(part[~unfinished])
+    if tile is not None:
+        add(carry)
+        yield from tile.rows()
+
+
 def pair_moments(df: DataFrame, value: str = "ret", symbol: str = "symbol", ts: str = "ts",
-                 blocks: int = 1) -> DataFrame:
+                 blocks: int | None = None) -> DataFrame:
     """Counts and power sums of every symbol pair a <= b over their common timestamps.
 
-    Timestamps are hashed to tasks; a task turns each Arrow batch into a
-    (timestamps x symbols) matrix and adds its Gram products. With ``blocks`` > 1
-    symbols are split in groups and a task only holds two of them, for universes
-    whose full matrix would not fit.
+    Symbols are split in groups (``blocks`` of them, by default as many as keep
+    a task's matrices at ``TILE_SYMBOLS`` squared); a task turns the rows of two
+    groups into dense blocks of timestamps x symbols, one tile at a time, and
+    adds their Gram products.  Only moments per pair leave it.  Of several rows
+    of one symbol and timestamp the greatest value counts.
     """
     src = df.select(F.col(symbol).alias("s"), F.col(ts).alias("t"), F.col(value).cast("double").alias("v")) \
-        .filter(F.col("v").isNotNull())
-    if blocks > 1:
-        g = F.pmod(F.xxhash64("s"), F.lit(blocks))
-        src = src.withColumn("g", g).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        src = src.withColumn("p", F.concat_ws("_", F.least("g", "o"), F.greatest("g", "o"))).drop("o")
+        .filter(F.col("v").isNotNull() & F.col("s").isNotNull() & F.col("t").isNotNull())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if blocks is None:
+        size = src.agg(F.count_distinct("s").alias("k"), F.count(F.lit(1)).alias("n")).first()
+        groups, chunks = tile_plan(size.k, size.n, parts)
     else:
-        src = src.withColumn("g", F.lit(0).cast("long")).withColumn("p", F.lit("0_0"))
-    src = src.repartition("p", "t").sortWithinPartitions("p", "t")
-
-    def gram(batches):
-        acc: dict[str, tuple[dict, list]] = {}
-        carry: pd.DataFrame | None = None
-
-        def add(pdf: pd.DataFrame) -> None:
-            for p, part in pdf.groupby("p", sort=False):
-                wide = part.pivot_table(index="t", columns="s", values="v", aggfunc="last")
-                index, sums = acc.setdefault(p, ({}, [np.zeros((0, 0)) for _ in range(4)]))
-                for s in wide.columns:
-                    index.setdefault(s, len(index))
-                k = len(index)
-                for i, m in enumerate(sums):
-                    if m.shape[0] < k:
-                        sums[i] = np.pad(m, ((0, k - m.shape[0]), (0, k - m.shape[1])))
-                at = np.array([index[s] for s in wide.columns])
-                x = wide.to_numpy()
-                mask = (~np.isnan(x)).astype(float)
-                x = np.nan_to_num(x)
-                grid = np.ix_(at, at)
-                for m, prod in zip(sums, (mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x)):
-                    m[grid] += prod
-
-        for pdf in batches:
-            pdf = pdf if carry is None else pd.concat([carry, pdf])
-            last = pdf[["p", "t"]].iloc[-1]
-            open_rows = (pdf["p"] == last["p"]) & (pdf["t"] == last["t"])
-            carry = pdf[open_rows]
-            if not open_rows.all():
-                add(pdf[~open_rows])
-        if carry is not None and len(carry):
-            add(carry)
-        for p, (index, (n, sx, sxx, sxy)) in acc.items():
-            names = np.array(list(index), dtype=object)
-            i, j = np.nonzero(n > 0)
-            keep = names[i] <= names[j]
-            i, j = i[keep], j[keep]
-            yield pd.DataFrame({"a": names[i], "b": names[j], "p": p, "n": n[i, j].astype("int64"), "sa": sx[i, j],
-                                "sb": sx[j, i], "saa": sxx[i, j], "sbb": sxx[j, i], "sab": sxy[i, j]})
-
-    out = src.select("s", "t", "v", "p").mapInPandas(
-        gram, "a string, b string, p string, n long, sa double, sb double, saa double, sbb double, sab double")
-    total = out.groupBy("a", "b", "p").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
-    # a pair inside one symbol group is seen by several block pairs: keep one of them
-    return total.groupBy("a", "b").agg(F.min_by(F.struct("n", "sa", "sb", "saa", "sbb", "sab"), "p").alias("m")) \
-        .select("a", "b", "m.*")
+        groups, chunks = blocks, max(1, -(-parts // (blocks * (blocks + 1) // 2)))
+    src = tiled(src, groups).withColumn("c", F.pmod(F.xxhash64("t"), F.lit(chunks)))
+    src = src.repartition("p", "c").sortWithinPartitions("p", "c", "t", "s", "v")
+    out = src.select("s", "t", "v", "g", "p", "c").mapInPandas(
+        lambda batches: tile_moments(batches, groups),
+        "a string, b string, n long, sa double, sb double, saa double, sbb double, sab double")
+    return out.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
 
 
 def corr_of(n="n", sa="sa", sb="sb", saa="saa", sbb="sbb", sab="sab") -> Column:
@@ -118,14 +178,14 @@ def covar_of() -> Column:
     return (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1)
 
 
-def pairwise_correlations(rets: DataFrame, min_correlation: float = 0.0, blocks: int = 1) -> DataFrame:
+def pairwise_correlations(rets: DataFrame, min_correlation: float = 0.0, blocks: int | None = None) -> DataFrame:
     """All pairs a < b with |corr| at least the threshold, strongest first."""
     m = pair_moments(rets, blocks=blocks).filter("a < b")
     c = m.select("a", "b", "n", corr_of().alias("corr"))
     return c.filter(F.abs("corr") >= abs(min_correlation)).orderBy(F.abs("corr").desc(), "a", "b")
 
 
-def correlation_matrix(rets: DataFrame, blocks: int = 1) -> DataFrame:
+def correlation_matrix(rets: DataFrame, blocks: int | None = None) -> DataFrame:
     """Both triangles and a unit diagonal in long form."""
     m = pair_moments(rets, blocks=blocks).withColumn(
         "corr", F.when(F.col("a") == F.col("b"), 1.0).otherwise(corr_of()))
@@ -133,42 +193,102 @@ def correlation_matrix(rets: DataFrame, blocks: int = 1) -> DataFrame:
     return m.select("a", "b", "corr", "n").unionByName(other)
 
 
-def rolling_correlation_matrix(bars: DataFrame, window: int = 30, step: int = 10,
-                               block_rows: int = 4096, symbols: list[str] | None = None) -> DataFrame:
+ROLLING_SYMBOLS = 256           # symbols on each side of a rolling tile
+
+
+class RollingTile:
+    """Co-moments of the last ``window`` rows of a tile: entering rows are added, leaving rows taken off, a window at a time."""
+
+    def __init__(self, window: int, step: int, same: bool):
+        self.window, self.step, self.same = window, step, same
+        self.new, self.held, self.left, self.right = [], [], None, None
+
+    def row(self, s: np.ndarray, v: np.ndarray, in_left: np.ndarray) -> None:
+        if self.left is None:
+            self.left, self.right = s[in_left], s[in_left] if self.same else s[~in_left]
+            a, b = len(self.left), len(self.right)
+            self.sums = [np.zeros(a), np.zeros(b), np.zeros(a), np.zeros(b), np.zeros((a, b))]
+        x = v[in_left]
+        self.new.append((x, x if self.same else v[~in_left]))
+
+    def _book(self, rows: list, sign: int) -> None:
+        if rows:
+            x, y = (np.array(side) for side in zip(*rows))
+            for total, part in zip(self.sums, (x.sum(0), y.sum(0), (x * x).sum(0), (y * y).sum(0), x.T @ y)):
+                total += sign * part
+
+    def correlations(self) -> pd.DataFrame:
+        """Correlations of the pairs a < b over the last ``window`` rows; 0 where one side does not move."""
+        if len(self.new) >= self.window:
+            self.held, self.new = self.new[-self.window:], []
+            for total in self.sums:
+                total[...] = 0
+            self._book(self.held, 1)
+        else:
+            gone, self.held = self.held[:len(self.new)], self.held[len(self.new):] + self.new
+            self._book(self.new, 1)
+            self._book(gone, -1)
+            self.new = []
+        n = len(self.held)
+        sx, sy, sxx, syy, sxy = self.sums
+        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+        vx, vy = np.where(vx > 1e-12 * sxx, vx, 0), np.where(vy > 1e-12 * syy, vy, 0)
+        scale = np.sqrt(np.outer(vx, vy))
+        c = np.divide(sxy - np.outer(sx, sy) / n, scale, out=np.zeros_like(sxy), where=scale > 0)
+        a, b = np.repeat(self.left, len(self.right)), np.tile(self.right, len(self.left))
+        if self.same:
+            keep = a < b
+            return pd.DataFrame({"a": a[keep], "b": b[keep], "corr": c.ravel()[keep]})
+        turn = a > b
+        return pd.DataFrame({"a": np.where(turn, b, a), "b": np.where(turn, a, b), "corr": c.ravel()})
+
+
+def rolling_tiles(batches, groups: int, window: int, step: int):
+    """Windows of every tile in rows (s, t, v, g, p, _blk, _halo, _rn) sorted by block, tile and row number."""
+    tile, at, carry = None, None, None
+
+    def finish(pdf: pd.DataFrame):
+        nonlocal tile, at
+        for (block, p, rn), part in pdf.groupby(["_blk", "p", "_rn"], sort=False):
+            if (block, p) != at:
+                tile, at = RollingTile(window, step, p // groups == p % groups), (block, p)
+            tile.row(part["s"].to_numpy(), part["v"].to_numpy(), (part["g"] == p // groups).to_numpy())
+            if not part["_halo"].iloc[0] and rn >= window and (rn - window) % step == 0:
+                yield tile.correlations().assign(ts=part["t"].iloc[0])
+
+    for pdf in batches:
+        pdf = pdf if carry is None else pd.concat([carry, pdf])
+        last = pdf.iloc[-1]
+        unfinished = ((pdf["_rn"] == last["_rn"]) & (pdf["p"] == last["p"]) & (pdf["_blk"] == last["_blk"])).to_numpy()
+        carry = pdf[unfinished]
+        yield from finish(pdf[~unfinished])
+    if carry is not None:
+        yield from finish(carry)
+
+
+def rolling_correlation_matrix(bars: DataFrame, window: int = 30, step: int = 10, block_rows: int = 4096,
+                               symbols: list[str] | None = None, side: int = ROLLING_SYMBOLS) -> DataFrame:
     """Correlation of every pair a < b of ``symbols`` (all by default) over ``window`` aligned rows, every ``step`` rows.
 
-    The aligned panel is cut in runs of timestamps with a halo; each run is one
-    matrix and only the stamped windows are emitted.
+    The aligned panel is cut in runs of timestamps with a halo and in tiles of
+    two groups of about ``side`` symbols.  A task walks one run of one tile,
+    keeps ``window`` rows and their co-moments, and gives out one window at a
+    time, so no task holds all symbols or all windows.  Of several rows of one
+    symbol and timestamp the greatest close counts.
     """
-    aligned = common_ts(bars.select("symbol", "ts", "close"), symbols=symbols)
+    aligned = common_ts(bars.groupBy("symbol", "ts").agg(F.max("close").alias("close")), symbols=symbols)
     r = framed(aligned, time_series(("symbol",), ("ts",), 365 * 86_400), lookback=1)
     prev = F.lag("close").over(r.w)
-    r = r.with_columns(ret=F.when(prev == 0, 0.0).otherwise(F.col("close") / prev - 1)).body().filter("ret is not null")
+    r = cut(r.with_columns(v=F.when(prev == 0, 0.0).otherwise(F.col("close") / prev - 1)).body()
+            .filter("v is not null").select(F.col("symbol").alias("s"), "ts", "v"))
+    groups = max(1, -(-r.agg(F.count_distinct("s")).first()[0] // side))
     stamps = r.select("ts").distinct().withColumn("_all", F.lit(0))
     pos = framed(stamps, TS_SERIES, lookback=window, block_rows=block_rows).df.select("ts", "_blk", "_halo", "_rn")
-    laid = r.select("symbol", "ts", "ret").join(pos, "ts")
-
-    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="_rn", columns="symbol", values="ret").sort_index()
-        names = wide.columns.to_numpy()
-        meta = pdf.drop_duplicates("_rn").set_index("_rn").sort_index()
-        x, rn = wide.to_numpy(), wide.index.to_numpy()
-        iu, ju = np.triu_indices(len(names), 1)
-        out = []
-        for i, k in enumerate(rn):
-            if meta["_halo"].iloc[i] or k < window or (k - window) % step:
-                continue
-            seg = x[i - window + 1:i + 1]
-            d = seg - seg.mean(axis=0)
-            cov = d.T @ d
-            sd = np.sqrt(np.diag(cov))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                c = np.nan_to_num(cov / np.outer(sd, sd))
-            out.append(pd.DataFrame({"ts": meta["ts"].iloc[i], "a": names[iu], "b": names[ju], "corr": c[iu, ju]}))
-        return pd.concat(out) if out else pd.DataFrame({"ts": pd.Series(dtype="datetime64[ns]"), "a": [], "b": [],
-                                                        "corr": pd.Series(dtype=float)})
-
-    return laid.groupBy("_blk").applyInPandas(windows, "ts timestamp, a string, b string, corr double")
+    laid = tiled(r.join(pos, "ts"), groups).withColumnRenamed("ts", "t")
+    laid = laid.repartition("_blk", "p").sortWithinPartitions("_blk", "p", "_rn", "s")
+    out = laid.select("s", "t", "v", "g", "p", "_blk", "_halo", "_rn").mapInPandas(
+        lambda batches: rolling_tiles(batches, groups, window, step), "a string, b string, corr double, ts timestamp")
+    return out.select("ts", "a", "b", "corr")
 
 
 def rolling_beta(bars: DataFrame, benchmark: DataFrame, window: int = 30, series: Series = BAR_SERIES) -> DataFrame:
@@ -233,7 +353,7 @@ def cross_symbol_stats(bars: DataFrame, periods: int = 365, series: Series = BAR
                     half_up(F.col("sortino"), 2).alias("sortino"), pct("max_drawdown").alias("max_drawdown_pct"))
 
 
-def correlation_clusters(rets: DataFrame, threshold: float = 0.8, blocks: int = 1) -> DataFrame:
+def correlation_clusters(rets: DataFrame, threshold: float = 0.8, blocks: int | None = None) -> DataFrame:
     """One row: pairs above the threshold, mean off-diagonal correlation, risk score and status."""
     c = pair_moments(rets, blocks=blocks).filter("a < b").withColumn("corr", corr_of())
     g = c.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("corr").alias("avg_corr"),

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import clamp, safe_div
 from ..plans.blocks import framed, tail
+from ..plans.lineage import cut
 from ..plans.rank import ranked, with_row
 from .align import TS_SERIES, common_ts, covar_of, pair_moments
 from .pairs import SYMBOL_SERIES
@@ -97,7 +98,7 @@ def both_triangles(cov: DataFrame) -> DataFrame:
 
 
 def covariance(rets: DataFrame, method: str = "sample", half_life: float = 30.0,
-               target: str = "identity", blocks: int = 1, symbols: list[str] | None = None,
+               target: str = "identity", blocks: int | None = None, symbols: list[str] | None = None,
                pairwise: bool = False) -> DataFrame:
     """Covariance of every pair a <= b on the timestamps common to ``symbols`` (all by default): a, b, cov, n.
 
@@ -111,7 +112,7 @@ def covariance(rets: DataFrame, method: str = "sample", half_life: float = 30.0,
             raise ValueError("pairwise moments are offered for the sample covariance only")
         rets = rets if symbols is None else rets.filter(F.col("symbol").isin(symbols))
         return pair_moments(rets, blocks=blocks).select("a", "b", F.when(F.col("n") > 1, covar_of()).alias("cov"), "n")
-    al = common_ts(rets.select("symbol", "ts", "ret"), symbols=symbols)
+    al = cut(common_ts(rets.select("symbol", "ts", "ret"), symbols=symbols))      # read by up to six passes
     if method == "exponential":
         mu = al.groupBy("symbol").agg(F.avg("ret").alias("mu"))
         stamps = framed(al.select("ts").distinct().withColumn("_all", F.lit(0)), TS_SERIES).body(keep_rn=True)

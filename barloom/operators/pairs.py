@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import safe_div
 from ..plans.blocks import Series, framed, tail, time_series
+from ..plans.lineage import cut
 from .align import common_ts, pair_moments
 from .tseries import half_life_of, mackinnon_cv, mackinnon_p
 
@@ -20,12 +21,12 @@ SYMBOL_SERIES = time_series(("symbol",), ("ts",), bucket_seconds=86_400)
 PARTS = [f + g for f in "xld" for g in "xld"]
 
 
-def pair_gram(bars: DataFrame, price: str = "close", blocks: int = 1, symbols: list[str] | None = None) -> DataFrame:
+def pair_gram(bars: DataFrame, price: str = "close", blocks: int | None = None, symbols: list[str] | None = None) -> DataFrame:
     """Per pair a < b: sizes, means and cross moments of level (x), lag (l) and change (d), centred by symbol."""
-    al = common_ts(bars.select("symbol", "ts", F.col(price).alias("p")), symbols=symbols)
+    al = cut(common_ts(bars.select("symbol", "ts", F.col(price).alias("p")), symbols=symbols))
     mu = al.groupBy("symbol").agg(F.avg("p").alias("mu"))
     fr = framed(al.join(mu, "symbol").withColumn("x", F.col("p") - F.col("mu")), SYMBOL_SERIES, lookback=1)
-    rows = fr.with_columns(l=F.lag("x").over(fr.w)).body().withColumn("d", F.col("x") - F.col("l"))
+    rows = cut(fr.with_columns(l=F.lag("x").over(fr.w)).body().select("symbol", "ts", "mu", "x", "l", (F.col("x") - F.col("l")).alias("d")))
     feats = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in "xld"])
     lng = rows.select("symbol", "ts", F.explode(feats).alias("e")).select(
         F.concat_ws("|", "e.f", "symbol").alias("symbol"), "ts", F.col("e.v").alias("v")).filter("v is not null")
@@ -50,7 +51,7 @@ def pair_gram(bars: DataFrame, price: str = "close", blocks: int = 1, symbols: l
     return g.join(a, "a").join(b, "b")
 
 
-def pair_stats(bars: DataFrame, price: str = "close", blocks: int = 1, symbols: list[str] | None = None) -> DataFrame:
+def pair_stats(bars: DataFrame, price: str = "close", blocks: int | None = None, symbols: list[str] | None = None) -> DataFrame:
     """Correlation, hedge ratios, residual unit-root test, half-life and trace statistics of every pair."""
     g = pair_gram(bars, price, blocks, symbols).filter("n >= 10")
     c = F.col
