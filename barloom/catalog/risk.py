@@ -78,7 +78,24 @@ for _t, _tgt, _goal in (("identity", "avg(cov) FILTER (a=b)", "CASE WHEN a=b THE
           ctes("rets", more=f"{CR}, {COV}, " + SHR.format(tgt=_tgt, goal=_goal)))(
         lambda s, d, t=_t: A.covariance(rets(s, d), "shrinkage", target=t))
 
-query("pca", "factor symbol loading:6 explained:6")(lambda s, d: A.pca(rets(s, d), 5))
+# leading eigenvectors by squaring the matrix 14 times, then taking the component off
+EIG = """fm AS (SELECT list(r ORDER BY a) AS c, list(a ORDER BY a) AS names FROM (SELECT a, list(cov ORDER BY b) AS r FROM (
+   SELECT a, b, cov FROM cv UNION ALL SELECT b, a, cov FROM cv WHERE a<>b) GROUP BY 1)),
+ pw AS (SELECT 1 AS comp, 0 AS it, c, c AS m FROM fm UNION ALL
+  SELECT CASE WHEN it<14 THEN comp ELSE comp+1 END, CASE WHEN it<14 THEN it+1 ELSE 0 END, CASE WHEN it<14 THEN c ELSE d END,
+   CASE WHEN it<14 THEN list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s)/(tr*tr))) ELSE d END
+  FROM (SELECT *, list_transform(range(1, len(c)+1), lambda i: list_transform(range(1, len(c)+1), lambda j: c[i][j]-lam*v[i]*v[j])) AS d
+   FROM (SELECT *, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS lam FROM (
+    SELECT *, list_transform(w, lambda x: x/sqrt(list_dot_product(w, w))) AS v FROM (SELECT *, m[list_position(dg, list_max(dg))] AS w,
+     list_sum(dg) AS tr FROM (SELECT *, list_transform(range(1, len(m)+1), lambda i: m[i][i]) AS dg FROM pw WHERE comp <= 5)))))),
+ ev AS MATERIALIZED (SELECT comp, v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS lam FROM (
+   SELECT comp, c, list_transform(w, lambda x: x/sqrt(list_dot_product(w, w))) AS v FROM (SELECT *, m[list_position(dg, list_max(dg))] AS w
+    FROM (SELECT *, list_transform(range(1, len(m)+1), lambda i: m[i][i]) AS dg FROM pw WHERE comp <= 5 AND it = 14)))),
+ ld AS (SELECT comp, lam, unnest(v) AS x, unnest(names) AS symbol FROM ev, fm)"""
+query("pca", "factor symbol loading:6 explained:6",
+      """SELECT CAST(comp AS BIGINT) AS factor, symbol, x*sign(arg_min(x, ROW(-round(abs(x), 9), symbol)) OVER (PARTITION BY comp)) AS loading,
+         lam/(SELECT sum(cov) FROM cv WHERE a=b) AS explained FROM ld""",
+      ctes("rets", more=f"{CR}, {COV}, {EIG}", recursive=True))(lambda s, d: A.pca(rets(s, d), 5))
 
 # two-factor least squares by making each factor orthogonal to the other
 OLS2 = """o0 AS (SELECT symbol, r.ts, ret AS y, market AS f, smb AS g FROM rets r JOIN fac USING (ts)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,26 +149,116 @@ def covariance(rets: DataFrame, method: str = "sample", half_life: float = 30.0,
     return with_row(s, tot).select("a", "b", (k * F.col("goal") + (1 - k) * c).alias("cov"), "n", k.alias("intensity"))
 
 
+PCA_EXTRA = 5                   # columns of a block beyond the components asked for
+PCA_STEPS = 100                 # blocks at most
+PCA_TOLERANCE = 1e-11           # residual of a component, relative to the greatest eigenvalue
+
+
+def _matrix(column) -> np.ndarray:
+    """An Arrow list column of equal lengths as rows of numbers."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _listed(x: np.ndarray) -> pa.Array:
+    x = np.ascontiguousarray(x)
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)[:len(x) + 1] if x.shape[1]
+                                    else np.zeros(len(x) + 1, np.int32), x.ravel())
+
+
+def _cross(block: DataFrame, off: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Q'W and W'W of the columns ``q`` and ``w``, with ``off`` W less Q off; added up on the cluster."""
+    def part(batches):
+        total, shape = 0, None
+        for batch in batches:
+            if len(batch):
+                q, w = _matrix(batch.column(0)), _matrix(batch.column(1))
+                w = w if off is None else w - q @ off
+                shape = (q.shape[1] + w.shape[1], w.shape[1])
+                total = total + np.hstack([q, w]).T @ w
+        if shape:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "x"])
+
+    got = (block.select("q", "w").mapInArrow(part, "at long, x double").groupBy("at").agg(F.sum("x").alias("x"))
+           .orderBy("at").toPandas()["x"].to_numpy())          # (columns so far + block) x block numbers
+    both = int(round(len(got) / (width := block.select(F.size("w")).first()[0])))
+    got = got.reshape(both, width)
+    return got[:both - width], got[both - width:]
+
+
 def pca(rets: DataFrame, k: int = 5, symbols: list[str] | None = None) -> DataFrame:
     """Loadings and explained variance of the leading components of the aligned panel of ``symbols`` (all by default).
 
-    Rows are summed into one symbols x symbols matrix by the cluster; only that
-    matrix is decomposed. The sign is fixed by the largest loading.
+    Block iteration on the covariance rows: the block of vectors is a table
+    with one row per symbol, the product with the covariance is a join and a
+    sum, and the new block is made orthogonal to all earlier ones (block
+    Lanczos, Golub and Van Loan).  Only inner products of columns, whose number
+    depends on ``k`` and the blocks needed, reach the driver; symbols and
+    loadings never do.  Iteration ends when the residual of every component is
+    below ``PCA_TOLERANCE`` of the greatest eigenvalue.  A component's largest
+    loading (the least symbol's among equals) is positive.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    al = common_ts(rets.select("symbol", "ts", "ret"), symbols=symbols)
-    names = [r.symbol for r in al.select("symbol").distinct().orderBy("symbol").collect()]
-    wide = al.groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("symbol", "ret"))).alias("r"))
-    vec = wide.select(array_to_vector(F.transform("r", lambda s: s.ret)).alias("x"))
-    model = PCA(k=min(k, len(names)), inputCol="x", outputCol="y").fit(vec)
-    pc, ev = model.pc.toArray(), model.explainedVariance.toArray()
-    rows = []
-    for f in range(pc.shape[1]):
-        v = pc[:, f] * np.sign(pc[np.abs(pc[:, f]).argmax(), f])
-        rows += [(f + 1, s, float(x), float(ev[f])) for s, x in zip(names, v)]
-    return rets.sparkSession.createDataFrame(rows, "factor long, symbol string, loading double, explained double")
+    spark = rets.sparkSession
+    schema = "factor long, symbol string, loading double, explained double"
+    cov = cut(both_triangles(covariance(rets, symbols=symbols)))
+    trace = cov.filter("a = b").agg(F.sum("cov")).first()[0]
+    if trace is None:
+        return spark.createDataFrame([], schema)
+    width = k + PCA_EXTRA
+    start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.xxhash64("symbol", i) / F.lit(2.0 ** 63))
+    block = cut(cov.filter("a = b").select(F.col("a").alias("symbol")).select(
+        "symbol", F.array().cast("array<double>").alias("q"), start.alias("w")))
+    t, last = np.zeros((0, 0)), 0
+    for _ in range(PCA_STEPS):
+        c, s0 = _cross(block)
+        if len(c):                                             # W is the covariance times the last block
+            m = len(c)
+            grown = np.zeros((m, m))
+            grown[:m - last, :m - last] = t
+            grown[:, m - last:] = c
+            grown[m - last:, :] = c.T
+            t = (grown + grown.T) / 2
+        off = c
+        c2, s2 = _cross(block, off)
+        off = off + c2
+        size, turn = np.linalg.eigh(s2 - c2.T @ c2)
+        size = np.maximum(size, 0)
+        scale = float(np.trace(s0)) if not len(t) else max(float(np.linalg.eigvalsh(t)[-1]) ** 2, 1e-300)
+        values, vectors = np.linalg.eigh(t)
+        values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+        left = np.sqrt(size)[:, None] * turn.T                 # how the block leaves the space of the earlier ones
+        kept = size > max(1e-9 * size.max(initial=0), 1e-26 * scale)
+        if len(t) and (not kept.any() or np.linalg.norm(left @ vectors[-last:], axis=0).max() <= PCA_TOLERANCE * abs(values[0])):
+            break
+        last = int(kept.sum())
+        mix = turn[:, kept] / np.sqrt(size[kept])
+
+        def grow(batches, off=off, mix=mix):
+            for batch in batches:
+                if len(batch):
+                    q, w = _matrix(batch.column(1)), _matrix(batch.column(2))
+                    new = (w - q @ off) @ mix
+                    yield pa.RecordBatch.from_arrays([batch.column(0), _listed(np.hstack([q, new])), _listed(new)], ["symbol", "q", "new"])
+
+        block = cut(block.mapInArrow(grow, "symbol string, q array<double>, new array<double>"))
+        times = cov.join(block.select(F.col("symbol").alias("b"), "new"), "b").groupBy(F.col("a").alias("symbol")).agg(
+            F.array(*[F.sum(F.col("cov") * F.get("new", F.lit(i))) for i in range(last)]).alias("w"))
+        block = cut(block.select("symbol", "q").join(times, "symbol"))
+    else:
+        raise ValueError(f"no convergence in {PCA_STEPS} blocks")
+
+    def load(batches):
+        for batch in batches:
+            if len(batch):
+                x = _matrix(batch.column(1)) @ vectors
+                yield pa.RecordBatch.from_arrays([batch.column(0), _listed(x)], ["symbol", "x"])
+
+    rows = block.select("symbol", "q").mapInArrow(load, "symbol string, x array<double>").select(
+        F.posexplode("x").alias("factor", "loading"), "symbol")
+    sign = rows.groupBy("factor").agg(F.signum(F.min_by("loading", F.struct(-F.round(F.abs("loading"), 9), "symbol"))).alias("sign"))
+    explained = F.get(F.array(*[F.lit(float(x) / trace) for x in values]), F.col("factor"))
+    return rows.join(F.broadcast(sign), "factor").select(      # one row per component
+        (F.col("factor") + 1).cast("long").alias("factor"), "symbol", (F.col("loading") * F.col("sign")).alias("loading"),
+        explained.alias("explained"))
 
 
 def factor_exposure(rets: DataFrame, factors: DataFrame, names: list[str], min_rows: int = 2, key=("symbol",)) -> DataFrame:
