@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import by_size, stored
-from barloom.llm.sharding import running_offsets
 from barloom.llm.tokens import library_encoder
+from barloom.plans.rank import numbered
 
 ITERATIONS = 300
-PIECES_PER_SLOT = 50_000
 
 
 def patterns_of(window: int, present: np.ndarray) -> np.ndarray:
@@ -151,7 +150,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int | Non
     sequence_id, offset``.  Null and empty texts are one piece of ``end_id``
     (none without it); repeated rows and ids are packed one by one; an empty
     table gives no piece.  The histogram has ``window`` counts whatever the
-    input; pieces of one length are numbered in slots by hash, so a common
+    input; pieces of one length are numbered in range partitions, so a common
     length is not one task.  Texts of a document are tokenised once.
     """
     spark = docs.sparkSession
@@ -163,26 +162,17 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int | Non
     pats, repeats = solve(hist)
     slots = spark.createDataFrame(_slots(pats, repeats, window), "length long, low long, high long, first long, times long, at long") \
         if len(pats) else spark.createDataFrame([], "length long, low long, high long, first long, times long, at long")
-    # number the pieces of a length: salt by hash, count per salt, number within
-    salts = max(1, -(-int(hist.sum()) // PIECES_PER_SLOT))
-    keyed = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
-    cell = F.col("length") * salts + F.col("salt")
-    keyed = keyed.withColumn("cell", cell)
-    sizes = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    before = running_offsets(sizes, "cell", "n").withColumn("length", F.floor(F.col("cell") / salts))
-    base = before.groupBy("length").agg(F.min("offset").alias("base"))
-    before = before.join(base, "length").select("cell", (F.col("offset") - F.col("base")).alias("low"))
-    per_length = F.expr("row_number() over (partition by cell order by doc_id, start, ids_crc32) - 1")
-    numbered = keyed.withColumn("k", per_length).join(before, "cell").withColumn("rank", F.col("low") + F.col("k")).drop("low", "k", "salt", "cell")
-    return _assign(numbered, slots)
-
-
-def _assign(numbered: DataFrame, slots: DataFrame) -> DataFrame:
+    order = [F.col(c) for c in ("doc_id", "start", "ids_crc32")]
+    placed = numbered(cut, ("length",), order, "rank", "of_length").drop("of_length").withColumn("rank", F.col("rank") - 1)
+    return _assign(placed, slots)
+
+
+def _assign(placed: DataFrame, slots: DataFrame) -> DataFrame:
     """Look each piece's number up in the slot that holds it: both sides meet in blocks of numbers of a length."""
     block = 4096
     s = (slots.withColumn("block", F.explode(F.expr(f"sequence(low div {block}, (high - 1) div {block})")))
          .withColumnRenamed("length", "slot_length"))
-    p = numbered.withColumn("piece_block", F.expr(f"rank div {block}"))
+    p = placed.withColumn("piece_block", F.expr(f"rank div {block}"))
     hit = p.join(s, (p.length == s.slot_length) & (p.piece_block == s.block) & (p["rank"] >= s.low) & (p["rank"] < s.high))
     k = F.col("rank") - F.col("low")
     return hit.select("doc_id", "start", "length", "ids_crc32", "doc_tokens",

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import os
 import re
-CACHE_UNITS = 500_000          # newest units a worker keeps, and as many of the generation before
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+CACHE_UNITS = 750_000          # newest units a worker keeps, and as many of the generation before
 CALL_UNITS = 96                # units per library call: short texts stay in the CPU's caches
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _ASCII_CASES = tuple(c + " " for c in map(chr, range(128)) if c.isspace())
 _UNIT_EDGE = re.compile(r"(?<=\S)(?= )")
-_WORKER: dict[tuple, "UnitEncoder"] = {}
+_WORKER: dict[tuple, "LibraryEncoder"] = {}
 
 
 class Units(dict):
@@ -83,39 +88,96 @@ class UnitEncoder:
         return [b"".join(r) for r in rows]
 
 
-def library_encoder(path: str, keep_space: bool) -> UnitEncoder:
-    """The worker's encoder for a vocabulary file of the tokenizers library, without special tokens."""
-    key = (path, keep_space)
-    if key not in _WORKER:
-        import numpy as np
+class LibraryEncoder:
+    """Ids of texts by a tokenizer of the library, each distinct unit of some texts looked up once.
+
+    Units are cut, made distinct and put together again as Arrow and NumPy
+    columns; a dictionary per worker remembers the ids of units it has met.
+    A text that spells a special token goes through the library whole, as the
+    library alone knows what to make of it.
+    """
 
+    def __init__(self, path: str, keep_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-
-        specials = [t.content for t in tok.get_added_tokens_decoder().values()]
-        parted = Tokenizer.from_file(path)
-        mark, mark_id = specials[-1], parted.token_to_id(specials[-1])
-
-        def encode_units(units: list[str]) -> list[bytes]:
-            """Many units per library call, parted by a special token; units that spell a special token go alone."""
-            out = []
-            for i in range(0, len(units), CALL_UNITS):
-                some = units[i:i + CALL_UNITS]
-                text = mark.join(some)
-                if any(text.count(s) != (len(some) - 1) * (s == mark) for s in specials):
-                    out.extend(np.array(e.ids, dtype="<u4").tobytes()
-                               for e in tok.encode_batch_fast(some, add_special_tokens=False))
-                    continue
-                ids = np.array(parted.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-                ends = np.append(np.flatnonzero(ids == mark_id), len(ids)).tolist()
-                packed, start = ids.tobytes(), 0
-                for end in ends:
-                    out.append(packed[4 * start:4 * end])
-                    start = end + 1
-            return out
+        self.tok, self.keep_space = Tokenizer.from_file(path), keep_space
+        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.mark = self.specials[-1]
+        self.mark_id = self.tok.token_to_id(self.mark)
+        self.known, self.old = {}, {}
+
+    def _new_units(self, units: list[str]) -> list[bytes]:
+        """Many units per library call, parted by a special token that none of them spells."""
+        out = []
+        for i in range(0, len(units), CALL_UNITS):
+            text = self.mark.join(units[i:i + CALL_UNITS])
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            packed, start = ids.tobytes(), 0
+            for end in np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist():
+                out.append(packed[4 * start:4 * end])
+                start = end + 1
+        return out
+
+    def _lookup(self, units: list[str]) -> list[bytes]:
+        """Packed ids of distinct units; what is not used for a generation of ``CACHE_UNITS`` is forgotten."""
+        if len(self.known) > CACHE_UNITS:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        out = [known.get(u) for u in units]
+        open_ = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in open_:
+            packed = old.get(units[i])
+            if packed is None:
+                new.append(i)
+            else:
+                out[i] = known[units[i]] = packed
+        for i, packed in zip(new, self._new_units([units[i] for i in new])):
+            out[i] = known[units[i]] = packed
+        return out
+
+    def _units(self, texts: list[str]) -> pa.Array:
+        """A list of units per text, cut before each space that follows a non-space, that space left out."""
+        if self.keep_space and any(_SPACE_AFTER_SPACE.search(t) for t in texts):
+            return pa.array([[u[1:] if k else u for k, u in enumerate(_UNIT_EDGE.split(t))] for t in texts], pa.list_(pa.large_string()))
+        return pc.split_pattern(pa.array(texts, pa.large_string()), " ")
 
-        _WORKER[key] = UnitEncoder(encode_units, keep_space)
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if any(s in t for s in self.specials):
+                out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                plain.append(i)
+        if not plain:
+            return out
+        lists = self._units([texts[i] for i in plain])
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        codes = lists.flatten().dictionary_encode()
+        units, at = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        packed = self._lookup([" " + u for u in units] if self.keep_space else units)
+        if self.keep_space:                                   # a text's first unit has no space before it
+            first = np.concatenate([[0], ends[:-1]])
+            names, which = np.unique(at[first], return_inverse=True)
+            packed = packed + self._lookup([units[i] for i in names.tolist()])
+            at[first] = len(units) + which
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        pool, begins = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[at]
+        stops = np.cumsum(n)
+        ids = pool[np.repeat(begins[at] - (stops - n), n) + np.arange(stops[-1])].tobytes()
+        start = 0
+        for i, stop in zip(plain, (4 * stops[ends - 1]).tolist()):
+            out[i] = ids[start:stop]
+            start = stop
+        return out
+
+
+def library_encoder(path: str, keep_space: bool) -> LibraryEncoder:
+    """The worker's encoder for a vocabulary file of the tokenizers library: what its plain call gives without added tokens."""
+    key = (path, keep_space)
+    if key not in _WORKER:
+        _WORKER[key] = LibraryEncoder(path, keep_space)
     return _WORKER[key]

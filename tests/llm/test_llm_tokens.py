@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from barloom.llm import bpe, packing, wavelet
+from barloom.llm import bpe, packing, tokens, wavelet
 from barloom.llm.common import ship_package
 
 SCHEMA = "doc_id long, text string, shard int, ids string, segment string"
@@ -35,7 +35,6 @@ def docs(spark):
 
 def library_ids(name, text):
     tok = Tokenizer.from_file(P.path(name))
-    tok.encode_special_tokens = True
     return np.array(tok.encode(text or "", add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -66,6 +65,17 @@ def test_shards_round_trip(spark, docs, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("name, keep_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_are_those_of_the_plain_library_call(name, keep_space):
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a  b<|endoftext|>", "<|ENDOFTEXT|> x", "", " a", "a \n b", "one two three", "İx Ⅳ é",
+             *odd_texts(200, 8)]
+    ids_of = tokens.LibraryEncoder(P.path(name), keep_space)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids_of(texts)] == [library_ids(name, t).tolist() for t in texts]
+    assert 50256 in library_ids("byte_bpe_50k.json", texts[0])
+    assert ids_of([]) == [] and ids_of(texts[:1]) == ids_of(texts)[:1]
+
+
 def test_shards_of_no_rows(spark, docs, tmp_path):
     path = wavelet.write_shards(docs[0].limit(0), P.path("byte_bpe_50k.json"), str(tmp_path / "e"))
     assert wavelet.read_shards(spark, path).count() == 0
