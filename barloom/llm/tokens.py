@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_UNITS = 750_000          # newest units a worker keeps, and as many of the generation before
+CACHE_UNITS = 600_000          # newest units a worker keeps, and as many of the generation before
 CALL_UNITS = 96                # units per library call: short texts stay in the CPU's caches
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _ASCII_CASES = tuple(c + " " for c in map(chr, range(128)) if c.isspace())
