@@ -12,11 +12,41 @@ from .base import query
 from .sql import TICKS, ctes
 from .stats import rets
 
-query("bootstrap_var", "symbol var_95:6 cvar_95:6 var_99:6 cvar_99:6")(lambda s, d: B.bootstrap_var(rets(s, d), 500, 5))
-query("bootstrap_ci", "symbol estimate:6 lower:6 upper:6 standard_error:6")(lambda s, d: B.bootstrap_ci(rets(s, d), "sharpe", 50))
-query("bootstrap_drawdown", "symbol expected_drawdown:6 ruin_probability:6 dd_95:6 dd_99:6")(
-    lambda s, d: B.bootstrap_drawdown(rets(s, d), 50, 60))
-query("bootstrap_scenarios", "scenario symbol ts ret:6")(lambda s, d: B.bootstrap_scenarios(rets(s, d), 200))
+NR = """nr AS MATERIALIZED (SELECT symbol, ts, ret, row_number() OVER w-1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rets
+   WINDOW w AS (PARTITION BY symbol ORDER BY ts))"""
+
+
+def _draw(counters: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {counters})), 1, 15) AS BIGINT)"
+
+
+def _paths(sims: int, steps: str) -> str:
+    """Drawn returns of every simulation and step."""
+    return NR + f""", sp AS MATERIALIZED (SELECT d.symbol, sim, step, ret FROM (SELECT symbol, sim, step, {_draw("42, sim, step, symbol, 'sim', '1w'")} % n AS i
+   FROM (SELECT symbol, sim, n, unnest(range(0, {steps})) AS step FROM (SELECT symbol, max(n) AS n FROM nr GROUP BY 1), range(0, {sims}) t(sim))) d
+   JOIN nr ON nr.symbol=d.symbol AND nr.i=d.i)"""
+
+
+query("bootstrap_var", "symbol var_95:6 cvar_95:6 var_99:6 cvar_99:6",
+      """SELECT symbol, -q95 AS var_95, -list_avg(list_filter(l, lambda x: x<=q95)) AS cvar_95, -q99 AS var_99, -list_avg(list_filter(l, lambda x: x<=q99))
+         AS cvar_99 FROM (SELECT symbol, l, l[26] AS q95, l[6] AS q99 FROM (SELECT symbol, list_sort(list(r)) AS l FROM (
+          SELECT symbol, sim, product(1+ret)-1 AS r FROM sp GROUP BY 1, 2) GROUP BY 1))""", ctes("rets", more=_paths(500, "5")))(
+    lambda s, d: B.bootstrap_var(rets(s, d), 500, 5))
+query("bootstrap_ci", "symbol estimate:6 lower:6 upper:6 standard_error:6",
+      """SELECT symbol, estimate, l[2] AS lower, l[49] AS upper, list_stddev_samp(l) AS standard_error FROM (SELECT symbol, list_sort(list(x)) AS l FROM (
+          SELECT symbol, sim, avg(ret)/stddev_samp(ret)*sqrt(365) AS x FROM sp GROUP BY 1, 2) GROUP BY 1) JOIN (
+         SELECT symbol, avg(ret)/stddev_samp(ret)*sqrt(365) AS estimate FROM rets GROUP BY 1) USING (symbol)""", ctes("rets", more=_paths(50, "n")))(
+    lambda s, d: B.bootstrap_ci(rets(s, d), "sharpe", 50))
+query("bootstrap_drawdown", "symbol expected_drawdown:6 ruin_probability:6 dd_95:6 dd_99:6",
+      """SELECT symbol, avg(x) AS expected_drawdown, avg(CASE WHEN x>=.2 THEN 1.0 ELSE 0 END) AS ruin_probability, quantile_cont(x, .95) AS dd_95,
+         quantile_cont(x, .99) AS dd_99 FROM (SELECT symbol, sim, max(1-v/greatest(1, pk)) AS x FROM (SELECT *, max(v) OVER (PARTITION BY symbol, sim
+          ORDER BY step) AS pk FROM (SELECT *, exp(sum(ln(1+ret)) OVER (PARTITION BY symbol, sim ORDER BY step)) AS v FROM sp)) GROUP BY 1, 2) GROUP BY 1""",
+      ctes("rets", more=_paths(50, "60")))(lambda s, d: B.bootstrap_drawdown(rets(s, d), 50, 60))
+query("bootstrap_scenarios", "scenario symbol ts ret:6",
+      f"""SELECT scenario, symbol, r.ts, ret FROM (SELECT scenario, {_draw("42, scenario")} % (SELECT count(*) FROM st) AS i FROM range(0, 200) t(scenario))
+         JOIN st USING (i) JOIN rets r ON r.ts=st.ts""",
+      ctes("rets", more="""st AS MATERIALIZED (SELECT ts, row_number() OVER (ORDER BY ts)-1 AS i FROM (SELECT ts FROM rets GROUP BY 1 HAVING
+       count(DISTINCT symbol)=(SELECT count(DISTINCT symbol) FROM rets)))"""))(lambda s, d: B.bootstrap_scenarios(rets(s, d), 200))
 
 _RX = {k: [p.replace("'", "''") for p in v] for k, v in G.PATTERNS.items()}
 
