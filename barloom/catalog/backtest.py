@@ -94,7 +94,7 @@ for _q, _s in ALIAS.items():
         lambda s, d, x=_s: B.signal_table(V.bars(s, d), [(x, {})]))
 query("backtest_metrics", "symbol strategy total_trades win_rate:4 profit_factor:2 expectancy:2 max_drawdown_ms:0",
       "SELECT * FROM fig", ctes("rets", more=f"{IND}, {WIDE}, {sig_cte(['sma_crossover', 'rsi_mean_reversion'])}, {sim_cte()}", recursive=True))(
-    lambda s, d: B.metrics(B.simulate(B.signal_table(V.bars(s, d), [("sma_crossover", {}), ("rsi_mean_reversion", {})]))))
+    lambda s, d: B.backtest(V.bars(s, d), [("sma_crossover", {}), ("rsi_mean_reversion", {})]))
 
 FAST, SLOW = (5, 8, 12), (20, 30, 50)
 GRIDS = "ma AS MATERIALIZED (SELECT symbol, ts, rn, n, close, " + ", ".join(

@@ -1,9 +1,9 @@
 """Strategy signals, all-in/all-out backtests, parameter grids and walk-forward tests.
 
 A strategy is a transform of an indicator table into a signal column (1 buy,
--1 sell, 0 hold). One table holds all runs, keyed by (series, strategy, params),
-and one plan simulates them all: the position is the last non-hold signal and
-equity is a running product, both block-wise running aggregates.
+-1 sell, 0 hold). ``backtest`` keeps runs as columns of the blocked bars and sums
+up each block for all runs at once; ``simulate`` gives a row per bar and run,
+where the position is the last non-hold signal and equity a running product.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.columns import half_up, log_growth
-from ..plans.blocks import Frame, Series, ema_lookback, framed, wilder_lookback
+from ..functions.columns import half_up, log_growth, sample_sd
+from ..plans.blocks import BLOCK_ROWS, Frame, Series, ema_lookback, framed, wilder_lookback
 from ..plans.lineage import cut
 from ..plans.rank import ranked
 from ..sources.views import BAR_SERIES
@@ -172,17 +175,23 @@ def label(params: dict) -> str:
     return json.dumps({k: float(v) for k, v in sorted(params.items())}, separators=(",", ":"))
 
 
-def signal_table(bars: DataFrame, runs: list[tuple[str, dict]], series: Series = BAR_SERIES,
-                 block_rows: int | None = None) -> DataFrame:
-    """One row per (bar, run). Each distinct indicator is computed once on the bars, before rows multiply."""
+def signal_columns(bars: DataFrame, runs: list[tuple[str, dict]], series: Series = BAR_SERIES,
+                   block_rows: int | None = None) -> tuple[Frame, list[tuple[str, dict]]]:
+    """The bars in blocks with the signal of run i in column ``_sig<i>``; each distinct indicator is computed once."""
     runs = [(s, {**DEFAULTS[s], **p}) for s, p in runs]
     runs = [r for r in runs if not (r[0] == "sma_crossover" and r[1]["fast"] >= r[1]["slow"])]
     look = max(STRATEGIES[s][0](p) for s, p in runs)
     fr = framed(bars.select(*series.key, *series.order, "open", "high", "low", "close"), series, lookback=look, block_rows=block_rows)
     for s, p in runs:
         fr = STRATEGIES[s][1](fr, p)
-    sig = {f"_sig{i}": STRATEGIES[s][2](fr, p) for i, (s, p) in enumerate(runs)}
-    rows = fr.with_columns(**sig).body()
+    return fr.with_columns(**{f"_sig{i}": STRATEGIES[s][2](fr, p) for i, (s, p) in enumerate(runs)}), runs
+
+
+def signal_table(bars: DataFrame, runs: list[tuple[str, dict]], series: Series = BAR_SERIES,
+                 block_rows: int | None = None) -> DataFrame:
+    """One row per (bar, run)."""
+    fr, runs = signal_columns(bars, runs, series, block_rows)
+    rows = fr.body()
     packed = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(label(p)).alias("params"), F.col(f"_sig{i}").alias("signal"))
                        for i, (s, p) in enumerate(runs)])
     return rows.select(*series.key, *series.order, "close", F.explode(packed).alias("r")).select(
@@ -257,6 +266,12 @@ def metrics(sim: DataFrame, capital: float = 10_000.0, series: Series = BAR_SERI
         F.count(pnl).alias("total_trades"), F.count(win).alias("_nw"), F.avg(win).alias("_aw"), F.avg(loss).alias("_al"),
         F.max(win).alias("_lw"), F.min(loss).alias("_ll"), F.sum(win).alias("_gp"),
         F.sum(F.when(pnl < 0, -pnl)).alias("_gl"), F.avg(hold).alias("_h"), F.avg(pnl).alias("_x"))
+    return figures(g, key, capital, rf)
+
+
+def figures(g: DataFrame, key: list[str], capital: float, rf: float) -> DataFrame:
+    """The figures from a run's sums."""
+    c = F.col
     total = (c("_eq") - capital) / capital
     years = (c("_t1") - c("_t0")) / MS_YEAR
     root, n, inf = F.sqrt("_per"), c("n_bars"), F.lit(float("inf"))
@@ -276,10 +291,182 @@ def metrics(sim: DataFrame, capital: float = 10_000.0, series: Series = BAR_SERI
     return g.select(*key, "n_bars", "total_trades", *[rounded(v, d).alias(k) for k, (v, d) in figures.items()])
 
 
+RUNS_AT_ONCE = 16               # runs walked together: a block's matrices stay at 16 MB each
+
+
+class Carry:
+    """What a run brings into a block, an entry per run: long or not, equity, top equity and its time, the open entry."""
+
+    def __init__(self, runs: int, capital: float, long: bool = False):
+        self.long, self.equity = np.full(runs, long), np.full(runs, capital)
+        self.top, self.top_ms = np.full(runs, -np.inf), np.zeros(runs)
+        self.entry_ms, self.cash, self.own = np.zeros(runs), np.full(runs, capital), np.zeros(runs, bool)
+
+    def part(self, s: slice) -> "Carry":
+        out = Carry(0, 0.0)
+        out.__dict__ = {k: v[s] for k, v in self.__dict__.items()}
+        return out
+
+
+def walk(close, before, ms, last_bar, sig, start: Carry, commission: float, slippage: float):
+    """Equity and trades of some runs (columns of ``sig``) over the bars of a block, and what they bring into the next."""
+    t = np.arange(len(close))[:, None]
+    at = np.maximum.accumulate(np.where(sig != 0, t, -1))
+    now = np.where(at >= 0, np.take_along_axis(sig, np.maximum(at, 0), 0) == 1, start.long)
+    was = np.vstack([start.long[None], now[:-1]])
+    enter, leave = now & ~was, (was & ~now) | (now & last_bar[:, None])
+    gain = np.where(was, (close / before)[:, None], 1.0)
+    gain *= np.where(enter, (1 - commission) / (1 + slippage), 1.0) * np.where(leave, (1 - slippage) * (1 - commission), 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        growth = np.cumsum(np.where(gain <= 0, -np.inf, np.log(gain)), axis=0)
+    equity = start.equity * np.exp(growth)
+    spent = start.equity * np.exp(np.vstack([np.zeros((1, growth.shape[1])), growth[:-1]]))
+    run = np.maximum.accumulate(equity)
+    peak_at = np.maximum.accumulate(np.where((equity == run) & (run >= start.top), t, -1))
+    entry_at = np.maximum.accumulate(np.where(enter, t, -1))
+    end = Carry(0, 0.0)
+    end.long, end.equity, end.top = now[-1], equity[-1], np.maximum(run[-1], start.top)
+    end.top_ms = np.where(peak_at[-1] >= 0, ms[peak_at[-1]], start.top_ms)
+    end.own = entry_at[-1] >= 0
+    end.entry_ms = np.where(end.own, ms[entry_at[-1]], start.entry_ms)
+    end.cash = np.where(end.own, np.take_along_axis(spent, np.maximum(entry_at[-1:], 0), 0)[0], start.cash)
+    return gain, leave, equity, spent, np.maximum(run, start.top), peak_at, entry_at, end
+
+
+PART = ("bars", "r1", "r2", "d0", "d1", "d2", "growth", "equity", "dd", "du", "trades", "wins", "won", "lost", "best", "worst", "gross_lost", "held")
+
+
+def block_sums(block: dict, start: Carry, capital: float, target: float, t0: float, commission: float, slippage: float) -> np.ndarray:
+    """One row of ``PART`` sums per run of a block."""
+    out = []
+    for lo in range(0, block["sig"].shape[1], RUNS_AT_ONCE):
+        some = slice(lo, lo + RUNS_AT_ONCE)
+        begin, ms = start.part(some), block["ms"]
+        gain, leave, equity, spent, top, peak_at, entry_at, end = walk(
+            block["close"], block["before"], ms, block["last"], block["sig"][:, some], begin, commission, slippage)
+        r, runs = gain - 1, gain.shape[1]
+        low = r < target
+        peak = np.maximum(top, capital)
+        since = np.where(top >= capital, np.where(peak_at >= 0, ms[peak_at], begin.top_ms), t0)
+        under = np.where(equity < peak, ms[:, None] - since, 0.0).max(axis=0)
+        i, k = np.nonzero(leave)
+        e = entry_at[i, k]
+        pnl = equity[i, k] - np.where(e >= 0, spent[np.maximum(e, 0), k], begin.cash[k])
+        held = ms[i] - np.where(e >= 0, ms[np.maximum(e, 0)], begin.entry_ms[k])
+        add = lambda w: np.bincount(k, w, runs)
+        best, worst = np.full(runs, np.nan), np.full(runs, np.nan)
+        np.fmax.at(best, k[pnl > 0], pnl[pnl > 0])
+        np.fmin.at(worst, k[pnl <= 0], pnl[pnl <= 0])
+        with np.errstate(divide="ignore"):
+            grown = np.log(np.where(gain <= 0, 0.0, gain)).sum(axis=0)
+        out.append(np.array([np.full(runs, len(r)), r.sum(0), (r * r).sum(0), low.sum(0), np.where(low, r, 0).sum(0), np.where(low, r * r, 0).sum(0),
+                             grown, end.equity, ((peak - equity) / peak).max(0), under, add(np.ones(len(k))), add(pnl > 0), add(np.maximum(pnl, 0)),
+                             add(np.minimum(pnl, 0)), best, worst, add(np.maximum(-pnl, 0)), add(held)]).T)
+    return np.vstack(out)
+
+
+def _block(pdf: pd.DataFrame, runs: int) -> dict:
+    """Arrays of a block's own bars, in order; ``before`` is the close one bar earlier (NaN at the first of a series)."""
+    pdf = pdf.sort_values("_rn")
+    own = ~pdf["_halo"].to_numpy()
+    close = pdf["close"].to_numpy(float)
+    before = np.append(np.nan, close[:-1])
+    return {"close": close[own], "before": before[own], "ms": pdf["_ms"].to_numpy(float)[own], "last": (pdf["_rn"] == pdf["_n"]).to_numpy()[own],
+            "sig": pdf[[f"_sig{i}" for i in range(runs)]].to_numpy(np.int8)[own]}
+
+
+CARRY = ("run", "long", "equity", "top", "top_ms", "entry_ms", "cash", "own")
+
+
+def carries(blocks: DataFrame, key: list[str], runs: int, capital: float, commission: float, slippage: float) -> DataFrame:
+    """What every run brings into each block of the series in ``blocks``: per block both starts, composed in block order.
+
+    A block's effect depends on its past only through one bit (long or not) and
+    scales with the equity, so it is summed up for both bits; a series then has
+    two small rows per block and run.
+    """
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        block, out = _block(pdf, runs), []
+        for long in (False, True):
+            start = Carry(runs, 1.0, long)
+            for lo in range(0, runs, RUNS_AT_ONCE):
+                some = slice(lo, lo + RUNS_AT_ONCE)
+                end = walk(block["close"], block["before"], block["ms"], block["last"], block["sig"][:, some], start.part(some),
+                           commission, slippage)[-1]
+                out.append(pd.DataFrame({"run": np.arange(runs)[some], "start": long, **{k: getattr(end, k) for k in CARRY[1:]}}))
+        got = pd.concat(out)
+        return pd.concat([pd.DataFrame({k: [pdf[k].iloc[0]] * len(got) for k in [*key, "_blk"]}), got.reset_index(drop=True)], axis=1)
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = Carry(runs, capital), []
+        for blk, part in pdf.groupby("_blk"):
+            out.append(pd.DataFrame({"_blk": blk, "run": np.arange(runs), **{k: getattr(state, k) for k in CARRY[1:]}}))
+            part = part.sort_values(["start", "run"])
+            pick = lambda k: part[k].to_numpy().reshape(2, runs)[state.long.astype(int), np.arange(runs)]
+            e, own, top = state.equity, pick("own").astype(bool), pick("top") * state.equity
+            state.entry_ms, state.cash = np.where(own, pick("entry_ms"), state.entry_ms), np.where(own, pick("cash") * e, state.cash)
+            state.top_ms, state.top = np.where(top >= state.top, pick("top_ms"), state.top_ms), np.maximum(top, state.top)
+            state.long, state.equity = pick("long").astype(bool), pick("equity") * e
+        got = pd.concat(out, ignore_index=True)
+        return pd.concat([pd.DataFrame({k: [pdf[k].iloc[0]] * len(got) for k in key}), got], axis=1)
+
+    ends = ", ".join(["run int", "long boolean", *[f"{c} double" for c in CARRY[2:7]], "own boolean"])
+    ident = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in [*key, "_blk"])
+    per_block = blocks.groupBy(*key, "_blk").applyInPandas(sums, f"{ident}, {ends.replace('run int', 'run int, start boolean')}")
+    return cut(per_block).groupBy(*key).applyInPandas(compose, f"{ident}, {ends}")
+
+
 def backtest(bars: DataFrame, runs: list[tuple[str, dict]], capital: float = 10_000.0, commission: float = 0.001,
-             slippage: float = 0.0005, series: Series = BAR_SERIES, block_rows: int | None = None) -> DataFrame:
-    sig = signal_table(bars, runs, series, block_rows)
-    return metrics(cut(simulate(sig, capital, commission, slippage, series, block_rows)), capital, series)
+             slippage: float = 0.0005, series: Series = BAR_SERIES, block_rows: int | None = None, rf: float = 0.05) -> DataFrame:
+    """Figures of every run, from sums per block and run: no row per bar and run exists.
+
+    Runs are columns of the blocked bars; a task walks all runs of a block as
+    matrices.  Series longer than a block first get what every run brings into
+    each block (``carries``), then all blocks are summed up side by side.
+    """
+    key, c, size = list(series.key), F.col, block_rows or BLOCK_ROWS
+    ms = F.unix_micros(series.order[0]) / 1000
+    span = cut(bars.groupBy(*key).agg(F.count(F.lit(1)).alias("_bars"), (F.min(ms) - 1).alias("_t0"), F.max(ms).alias("_t1")))
+    per = F.when(c("_t1") <= c("_t0"), 365.0).otherwise(half_up(MS_YEAR / ((c("_t1") - c("_t0")) / c("_bars")), 0))
+    fr, runs = signal_columns(bars, runs, series, block_rows)
+    n = len(runs)
+    sigs = [F.coalesce(c(f"_sig{i}"), F.lit(0)).cast("byte").alias(f"_sig{i}") for i in range(n)]
+    real = F.max((~c("_halo")).cast("int")).over(Window.partitionBy(*key, "_blk")) == 1       # not only the end of the block before
+    rows = fr.df.withColumn("_real", real).filter("_real").select(*key, "_blk", "_halo", "_rn", "_n", "close", ms.alias("_ms"), *sigs)
+    times = span.select(*key, "_t0", per.alias("_per"))
+    rows = rows.join(times, key)
+
+    def sums(pdf: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+        start = Carry(n, capital)
+        if len(carried):
+            for name in CARRY[1:]:
+                setattr(start, name, carried.sort_values("run")[name].to_numpy())
+        head = pdf.iloc[0]
+        got = pd.DataFrame(block_sums(_block(pdf, n), start, capital, rf / head["_per"], head["_t0"], commission, slippage), columns=list(PART))
+        return pd.concat([pd.DataFrame({k: [head[k]] * n for k in [*key, "_blk"]}), pd.DataFrame({"run": np.arange(n)}), got], axis=1)
+
+    ident = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in [*key, "_blk"])
+    schema = f"{ident}, run int, " + ", ".join(f"{p} double" for p in PART)
+    blocks = rows.groupBy(*key, "_blk")
+    if span.filter(c("_bars") > max(size, 1)).isEmpty():
+        parts = blocks.applyInPandas(lambda pdf: sums(pdf, pdf[:0]), schema)
+    else:
+        long = rows.join(span.filter(c("_bars") > size).select(*key), key, "left_semi")
+        brought = carries(long, key, n, capital, commission, slippage)
+        parts = blocks.cogroup(brought.groupBy(*key, "_blk")).applyInPandas(sums, schema)
+    g = parts.groupBy(*key, "run").agg(
+        F.max_by("equity", "_blk").alias("_eq"), *[F.sum(p).alias(p) for p in PART if p not in ("equity", "dd", "du", "best", "worst")],
+        F.max("dd").alias("_dd"), F.max("du").alias("_du"), F.max(F.nanvl("best", F.lit(None).cast("double"))).alias("_lw"),
+        F.min(F.nanvl("worst", F.lit(None).cast("double"))).alias("_ll"))
+    lit = lambda values: F.get(F.array(*[F.lit(v) for v in values]), c("run"))
+    g = g.join(span, key).select(
+        *key, lit([s for s, _ in runs]).alias("strategy"), lit([label(p) for _, p in runs]).alias("params"),
+        c("_bars").alias("n_bars"), per.alias("_per"), "_t0", "_t1", "_eq", (c("r1") / c("bars")).alias("_m"),
+        sample_sd(c("bars"), c("r1"), c("r2")).alias("_sd"), sample_sd(c("d0"), c("d1"), c("d2")).alias("_dn"), c("growth").alias("_lg"), "_dd", "_du",
+        c("trades").cast("long").alias("total_trades"), c("wins").alias("_nw"), (c("won") / F.nullif("wins", F.lit(0.0))).alias("_aw"),
+        (c("lost") / F.nullif(c("trades") - c("wins"), F.lit(0.0))).alias("_al"), "_lw", "_ll", c("won").alias("_gp"), c("gross_lost").alias("_gl"),
+        (c("held") / F.nullif("trades", F.lit(0.0))).alias("_h"), ((c("won") + c("lost")) / F.nullif("trades", F.lit(0.0))).alias("_x"))
+    return figures(g, [*key, "strategy", "params"], capital, rf)
 
 
 def compare_strategies(bars: DataFrame, series: Series = BAR_SERIES, **kw) -> DataFrame:
