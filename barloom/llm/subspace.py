@@ -8,12 +8,15 @@ a grid over its first coordinates, with boundaries at quantiles of all vectors,
 gives every vector a home cell and, in the greater cells that its ball
 touches, a probe.
 
-What is shuffled is the rotated vector as signed bytes.  Rounding moves a
-vector by at most sqrt(dimensions) / 254, so distances between rounded vectors
-bound the true ones on both sides: most links and non-links are proved by the
-bounds, the few pairs between them are decided by the cosine of the original
-vectors in double precision.  A pair is settled in the first block that admits
-it, so tasks return counts per vector and a spanning forest, not all pairs.
+What is shuffled is the rotated vector as signed bytes, in three digits of base
+254 per component.  Rounding to the first digit moves a vector by at most
+sqrt(dimensions) / 254, so distances between rounded vectors bound the true
+ones on both sides.  Pairs that the first digit leaves open get a second look at
+all three digits in the same task, whose bounds are 64,516 times closer; only a
+pair within about 3e-7 of the wanted cosine (64 dimensions) leaves the task as
+a row, to be decided by the original vectors in double precision.  A pair is
+settled in the first block that admits it, so tasks return counts per vector
+and a spanning forest, not all pairs, dense groups included.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from barloom.llm.common import stored
 from barloom.llm.components import components
 
 SCALE = 127
+BASE = 254                       # of the two further digits of a component
 CELL_ROWS = 1024
 BLOCK_DIMS = 8
 CHUNK_ROWS = 16 * CELL_ROWS      # homes and probes of a cell in one task
@@ -50,14 +54,18 @@ def vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding")
 
 
 def _rounded(classes: DataFrame, dims: int) -> DataFrame:
-    """``cid, w, q``: bytes of the rotated unit vector."""
+    """``cid, w, q``: three bytes per component of the rotated unit vector, all first digits, all second, all third."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(dims)
         for batch in batches:
             x = np.asarray(batch.column(2).flatten()).reshape(-1, dims)
             x = x / np.abs(x).max(axis=1, keepdims=True)                 # no overflow in the squares
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            q = np.rint(x @ turn * SCALE).astype(np.int8)
+            y = x @ turn * SCALE
+            first = np.rint(y)
+            rest = np.rint(y * BASE ** 2) - first * BASE ** 2
+            second = np.rint(rest / BASE)
+            q = np.hstack([first, second, rest - second * BASE]).astype(np.int8)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in q], pa.binary())],
                                              ["cid", "w", "q"])
 
@@ -69,7 +77,7 @@ def _boundaries(rounded: DataFrame, dims: int, slices: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((dims, 256), np.int64)
         for batch in batches:
-            q = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int8).reshape(-1, dims).astype(np.int64) + 128
+            q = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int8).reshape(-1, 3 * dims)[:, :dims].astype(np.int64) + 128
             for d in range(dims):
                 counts[d] += np.bincount(q[:, d], minlength=256)
         d, v = np.nonzero(counts)
@@ -97,7 +105,7 @@ def _placed(rounded: DataFrame, dims: int, blocks: list[tuple[int, int]], limits
     """``block, cell, home, cid, w, q``: home cells, and probes of greater cells within the block's limit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, dims)
+            q = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, 3 * dims)[:, :dims]
             for b, (s, e) in enumerate(blocks):
                 m = min(k, e - s)
                 dist, row = np.zeros(len(q)), np.arange(len(q))           # cells still within reach, and their squared distance
@@ -122,11 +130,18 @@ def _placed(rounded: DataFrame, dims: int, blocks: list[tuple[int, int]], limits
     return rounded.mapInArrow(run, "block int, cell long, home boolean, cid long, w long, q binary")
 
 
-def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int, int]], limits: list[float], sure: float,
-            maybe: float) -> DataFrame:
-    """``kind, a, b, n``: sure links counted per vector (kind 0), spanning links (1), pairs to verify (2)."""
+def _bounds(reach: float, dims: int) -> tuple[float, float]:
+    """Squared distances of rounded vectors up to which a link is sure, and beyond which there is none."""
+    return -1.0 if reach <= sqrt(dims) else max(0.0, reach - sqrt(dims) - 1e-3) ** 2, (reach + sqrt(dims)) ** 2
+
+
+def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int, int]], limits: list[float], reach: float) -> DataFrame:
+    """``kind, a, b, n``: sure links counted per vector (kind 0), spanning links (1), pairs at the very limit (2)."""
+    sure, maybe = _bounds(reach, dims)
+    sure_fine, maybe_fine = _bounds(reach * BASE ** 2, dims)
+
     def solve(block: int, sub: tuple[int, int], own: np.ndarray, home: np.ndarray, cid: np.ndarray, w: np.ndarray, q: np.ndarray):
-        n, f, home = len(q), q.astype(np.float32), home > 0
+        n, f, home = len(q), q[:, :dims].astype(np.float32), home > 0
         s, e = blocks[block]
         g = f[:, s:e]
         sq = (g * g).sum(axis=1)
@@ -138,7 +153,7 @@ def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int,
                 col.append(v)
 
         order = np.argsort(~home, kind="stable")                      # homes first: every admitted pair has one
-        f, g, sq, cid, w, own = f[order], g[order], sq[order], cid[order], w[order], own[order]
+        f, g, sq, cid, w, own, q = f[order], g[order], sq[order], cid[order], w[order], own[order], q[order]
         homes, one = int(home.sum()), np.ones((n, 1), np.float32)
         left, right = np.hstack([-2 * g, sq[:, None], one]), np.hstack([g, one, sq[:, None]]).T.copy()
         for a in range(0, homes, 256):                                # squared distances by one product, exact in integers
@@ -159,9 +174,18 @@ def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int,
                 keep &= whole <= maybe
                 x, y, whole = x[keep], y[keep], whole[keep]
                 yes = whole <= sure
+                open_ = np.flatnonzero(~yes)
+                doubt = np.zeros(len(x), bool)
+                for lo in range(0, len(open_), 1 << 14):               # the second look, in all three digits
+                    some = open_[lo:lo + (1 << 14)]
+                    d = (q[x[some]].astype(np.float64) - q[y[some]]).reshape(-1, 3, dims)
+                    d = d[:, 0] * BASE ** 2 + d[:, 1] * BASE + d[:, 2]
+                    fine = (d * d).sum(axis=1)
+                    yes[some] = fine <= sure_fine
+                    doubt[some] = (fine > sure_fine) & (fine <= maybe_fine)
                 np.add.at(count, x[yes], w[y[yes]])
                 np.add.at(count, y[yes], w[x[yes]])
-                put(2, cid[x[~yes]], cid[y[~yes]], np.zeros(int((~yes).sum()), np.int64))
+                put(2, cid[x[doubt]], cid[y[doubt]], np.zeros(int(doubt.sum()), np.int64))
                 x, y = x[yes], y[yes]
                 while len(x):                                         # halve the links to a spanning forest, all at once
                     lx, ly = label[x], label[y]
@@ -199,7 +223,7 @@ def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int,
             if not batch.num_rows:
                 continue
             cols = [np.asarray(c) for c in batch.columns[:-1]]
-            cols.append(np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.int8).reshape(-1, dims))
+            cols.append(np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.int8).reshape(-1, 3 * dims))
             change = np.zeros(batch.num_rows - 1, bool)
             for c in cols[:len(keys)]:
                 change |= c[1:] != c[:-1]
@@ -216,41 +240,17 @@ def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int,
     return cut.mapInArrow(run, "kind int, a long, b long, n long")
 
 
-def near_duplicates(df: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding",
-                    block_dims: int = BLOCK_DIMS, chunk: int = CHUNK_ROWS) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` per row of ``df``; other columns are ignored.
-
-    Links are all pairs of different rows with cosine >= ``cosine``, whatever
-    else the rows hold.  Null, zero and not wholly finite vectors, rows without
-    an id and an empty table's rows link with nothing.  Equal vectors are one
-    class from the start, counted by its size, so copies cost nothing.  An id
-    that repeats with another vector is one node.  All vectors must have one
-    length (ValueError otherwise).  Cells with more than ``chunk`` rows are cut
-    by hash and each pair of chunks is its own task.
-    """
-    if not 0 < cosine <= 1:
-        raise ValueError("cosine must lie in (0, 1]")
-    rows = vectors(df, vec_id, embedding)
-    good = rows.filter("v is not null and vec_id is not null")
-    classes = stored(good.groupBy("v").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("w")), "vector-classes")
-    shape = classes.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi")).first()
-    if not shape.n:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if shape.lo != shape.hi:
-        raise ValueError(f"vectors of {shape.lo} to {shape.hi} components")
-    dims = shape.lo
+def _links(classes: DataFrame, dims: int, cosine: float, block_dims: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Links of distinct vectors of one length: ``cid, n`` (rows linked) and ``a, b`` (a spanning forest)."""
+    n = classes.count()
     count = max(1, round(dims / block_dims))
     bounds = np.linspace(0, dims, count + 1).round().astype(int).tolist()
     blocks = list(zip(bounds[:-1], bounds[1:]))
     budget = 2 - 2 * cosine + 1e-9
     slack = [sqrt(e - s) for s, e in blocks]                              # rounding, in units of 1 / SCALE
     limits = [(sqrt(budget * (e - s) / dims) * SCALE + r) ** 2 for (s, e), r in zip(blocks, slack)]
-    reach = sqrt(budget) * SCALE
-    maybe, sure = (reach + sqrt(dims)) ** 2, max(0.0, reach - sqrt(dims) - 1e-3) ** 2
-    if reach <= sqrt(dims):
-        sure = -1.0
     rounded = stored(_rounded(classes, dims), "rounded")
-    k, slices = _grid(shape.n, min(e - s for s, e in blocks))
+    k, slices = _grid(n, min(e - s for s, e in blocks))
     placed = _placed(rounded, dims, blocks, limits, _boundaries(rounded, dims, slices), k, slices)
     # a pair within the limit has a home in one of both cells: the greater one's
     heavy = (placed.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > chunk))
@@ -259,7 +259,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id",
            .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("c")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
            .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")))
-    found = stored(_settle(cut, ["block", "cell", "x", "y"], dims, blocks, limits, sure, maybe), "settled")
+    found = stored(_settle(cut, ["block", "cell", "x", "y"], dims, blocks, limits, sqrt(budget) * SCALE), "settled")
     vs = classes.select("cid", "v", "w")
     pairs = (found.filter("kind = 2").select("a", "b").join(vs.toDF("a", "va", "wa"), "a").join(vs.toDF("b", "vb", "wb"), "b"))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
@@ -267,10 +267,39 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id",
     checked = stored(pairs.select("a", "b", "wa", "wb", unit("va").alias("va"), unit("vb").alias("vb"))
                      .filter(dot(F.col("va"), F.col("vb")) / (F.sqrt(dot(F.col("va"), F.col("va"))) * F.sqrt(dot(F.col("vb"), F.col("vb")))) >= cosine)
                      .select("a", "b", "wa", "wb"), "verified")
-    counts = (found.filter("kind = 0").select(F.col("a").alias("cid"), "n")
-              .union(checked.select("a", "wb")).union(checked.select("b", "wa")).groupBy("cid").agg(F.sum("n").alias("n")))
-    comp = components(found.filter("kind = 1").select("a", "b").union(checked.select("a", "b")))
-    named = (classes.join(counts, "cid", "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
+    counts = found.filter("kind = 0").select(F.col("a").alias("cid"), "n").union(checked.select("a", "wb")).union(checked.select("b", "wa"))
+    return counts, found.filter("kind = 1").select("a", "b").union(checked.select("a", "b"))
+
+
+def near_duplicates(df: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding",
+                    block_dims: int = BLOCK_DIMS, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` per row of ``df``; other columns are ignored.
+
+    Links are all pairs of different rows with cosine >= ``cosine``, whatever
+    else the rows hold.  Null, zero and not wholly finite vectors, rows without
+    an id and an empty table's rows link with nothing.  Equal vectors are one
+    class from the start, counted by its size, so copies cost nothing.  An id
+    that repeats with another vector is one node.  Vectors of different lengths
+    have no cosine and never link; each length is joined by itself.  Cells with
+    more than ``chunk`` rows are cut by hash and each pair of chunks is its own
+    task.
+    """
+    if not 0 < cosine <= 1:
+        raise ValueError("cosine must lie in (0, 1]")
+    rows = vectors(df, vec_id, embedding)
+    good = rows.filter("v is not null and vec_id is not null")
+    classes = stored(good.groupBy("v").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("w")), "vector-classes")
+    lengths = [r[0] for r in classes.select(F.size("v")).distinct().collect()]       # lengths of vectors are few
+    if not lengths:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    counts, edges = None, None
+    for dims in lengths:
+        n, e = _links(classes.filter(F.size("v") == dims), dims, cosine, block_dims, chunk)
+        # an id with several vectors has its counts added under the vector's length
+        n = n.groupBy("cid").agg(F.sum("n").alias("n")).withColumn("dims", F.lit(dims))
+        counts, edges = (n, e) if counts is None else (counts.union(n), edges.union(e))
+    comp = components(edges).withColumnRenamed("node", "cid")
+    named = (classes.withColumn("dims", F.size("v")).join(counts, ["cid", "dims"], "left").join(comp, "cid", "left")
              .select("v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id")))
     hit = good.join(named, "v").select("vec_id", "n_links", "component_id")
     rest = rows.filter("v is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

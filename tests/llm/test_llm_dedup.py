@@ -237,5 +237,26 @@ def test_subspace_join_odd_vectors(spark):
     linked = [(i, 4, 1, i == 1) for i in (1, 2, 2, 8, 9)]
     assert got == sorted(linked + [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 10, None)], key=repr)
     assert subspace.near_duplicates(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        subspace.near_duplicates(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"))
+    mixed = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0]), (3, [3.0]), (4, [1.0, 2.01]), (5, [-1.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in subspace.near_duplicates(mixed).collect()} == {
+        1: (1, 1), 3: (1, 1), 2: (1, 2), 4: (1, 2), 5: (0, 5)}
+
+
+def test_a_dense_group_at_the_limit_gives_no_pair_rows(spark, monkeypatch):
+    """1,500 vectors whose cosines all lie near 0.95: over a million pairs to settle, a few thousand rows."""
+    ship_package(spark)
+    rng, written = np.random.default_rng(1), {}
+
+    def noted(df, name):
+        out = stored(df, name)
+        written[name] = out.count()
+        return out
+
+    stored = subspace.stored
+    monkeypatch.setattr(subspace, "stored", noted)
+    noise = rng.standard_normal((1500, 64))
+    v = np.eye(64)[0] + noise / np.linalg.norm(noise, axis=1, keepdims=True) * np.sqrt(0.05 / 0.95)
+    df = spark.createDataFrame([(i, [float(x) for x in a]) for i, a in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in subspace.near_duplicates(df).collect()}
+    assert got == brute_links(v, list(range(1500)), 0.95)
+    assert written["settled"] < 20 * 1500 and written["verified"] < 1500
