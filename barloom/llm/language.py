@@ -7,7 +7,9 @@ all training texts are gathered on the cluster; lower orders follow from them
 model is a set of sorted arrays of packed n-grams with one column of
 probabilities and one of back-off weights per language; a text gets the
 language of lowest cross-entropy per predicted character, and is rejected when
-that lies far above what the training texts of the language show.
+that lies far above what the training texts of the language show.  Every n-gram
+is kept.  Languages are independent of each other, so where their arrays are
+large together they form several parts, and texts pass the parts one by one.
 """
 
 from __future__ import annotations
@@ -16,18 +18,19 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import by_size
+from barloom.llm.common import by_size, fresh, stored
 
 ORDER = 4
 START, END = "\x02", "\x03"
-MODEL_CELLS = 1 << 24            # n-grams times languages of the fitted model
-MAX_LANGUAGES = 1_000
+PART_CELLS = 1 << 24             # n-grams times languages of a part; a single language is a part whatever its n-grams
 MARGIN = 8.0                     # standard deviations above the mean cross-entropy up to which no text is rejected
 SCORE_CHARS = 64
 CACHE_WORDS = 400_000
@@ -104,11 +107,8 @@ def _suffix_table(keys: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarr
 class Model:
     """Per order: sorted grams with probabilities and sorted contexts with back-off weights, a column per language."""
 
-    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.key, self.langs = uuid.uuid4().hex, langs
-        self.limits = np.full(len(langs), np.inf)
-        units = np.unique(np.concatenate([k & np.uint64(0xFFFF) for k, _ in counts])) if counts else np.zeros(0, np.uint64)
-        self.uniform = 1.0 / (len(units) + 1)
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], uniform: float):
+        self.key, self.langs, self.uniform = uuid.uuid4().hex, langs, uniform
         tables = []
         for keys, n in counts:
             per = {ORDER: (keys, n.astype(float))}
@@ -192,123 +192,142 @@ class Scorer:
         return out
 
 
-def verdicts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: index of the language (-1: no letter), score, cross-entropy per character, rejection."""
+@dataclass
+class Models:
+    """Parts of the model as broadcast variables, and per language the cross-entropy above which a text is rejected."""
+
+    langs: list[str]
+    parts: list[tuple[int, Broadcast]]
+    uniform: float
+    limits: np.ndarray
+
+
+def heard(model: Model, first: int, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Per text by the languages of a part, of which the first is number ``first``: best language (-1: no letter), its
+    cross-entropy per character, the logarithm of all languages' summed likelihoods over up to ``SCORE_CHARS`` characters,
+    and the number of characters.
+    """
     if model.key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[model.key] = Scorer(model)
     sums = _SCORERS[model.key](texts)
     n = sums[:, -1]
-    some = (n > 0) & (len(model.langs) > 0)
-    best, score, cross = np.full(len(texts), -1), np.zeros(len(texts)), np.full(len(texts), np.inf)
+    some = n > 0
+    best, cross, mass = np.full(len(texts), -1), np.full(len(texts), np.inf), np.full(len(texts), -np.inf)
     if some.any():
         h = -sums[some, :-1] / n[some, None]
-        best[some] = h.argmin(axis=1)
+        best[some] = first + h.argmin(axis=1)
         cross[some] = h.min(axis=1)
-        score[some] = 1 / np.exp((cross[some, None] - h) * np.minimum(n[some], SCORE_CHARS)[:, None]).sum(axis=1)
-    reject = ~some
-    reject[some] = cross[some] > model.limits[best[some]]
-    return best, score, cross, reject
+        k = np.minimum(n[some], SCORE_CHARS)
+        # relative to the best, so that nothing underflows
+        mass[some] = -cross[some] * k + np.log(np.exp((cross[some, None] - h) * k[:, None]).sum(axis=1))
+    return best, cross, mass, n
+
+
+HEARD = ("best", "cross", "mass", "chars")
 
 
-def train(docs: DataFrame, model_cells: int = MODEL_CELLS) -> Model:
+def scored(docs: DataFrame, models: Models, text: str = "text") -> tuple[DataFrame, list[str]]:
+    """``docs`` with the verdict over all parts in four more columns, and the names of these.
+
+    Each part is one pass over the texts, in which a worker holds that part
+    alone; between passes the rows are stored.
+    """
+    names = fresh(docs, *HEARD)
+    at = docs.columns.index(text)
+    out = docs.withColumns({names[0]: F.lit(-1).cast("long"), names[1]: F.lit(float("inf")), names[2]: F.lit(float("-inf")), names[3]: F.lit(0.0)})
+    for i, (first, part) in enumerate(models.parts):
+        def run(batches: Iterator[pa.RecordBatch], first=first, part=part) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                for a, b in by_size(texts):
+                    rows = batch.slice(a, b - a)
+                    old = [np.asarray(c) for c in rows.columns[-4:]]
+                    best, cross, mass, n = heard(part.value, first, texts[a:b])
+                    better = cross < old[1]
+                    new = [np.where(better, best, old[0]), np.where(better, cross, old[1]), np.logaddexp(old[2], mass), np.maximum(old[3], n)]
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:-4], *map(pa.array, new)], rows.schema.names)
+
+        if i:
+            out = stored(out, "languages")
+        out = out.mapInArrow(run, out.schema)
+    return out, names
+
+
+def _score(cross: str, mass: str, chars: str) -> Column:
+    """Share of the best language in all likelihoods over up to ``SCORE_CHARS`` characters."""
+    return F.when(F.col(chars) > 0, F.least(F.lit(1.0), F.exp(-F.col(cross) * F.least(F.col(chars), F.lit(float(SCORE_CHARS))) - F.col(mass)))).otherwise(0.0)
+
+
+def _rejected(models: Models, best: str, cross: str) -> Column:
+    if not models.langs:
+        return F.lit(True)
+    limit = F.get(F.array(*[F.lit(float(x)) for x in models.limits]), F.col(best).cast("int"))
+    return (F.col(best) < 0) | (F.col(cross) > limit)
+
+
+def train(docs: DataFrame, part_cells: int = PART_CELLS) -> Models:
     """Fit on all rows of ``docs`` (``doc_id, text, lang``) with text and lang.
 
-    The four-gram counts cover every text.  The model keeps, per language, the
-    grams above the least count that brings it within ``model_cells`` divided by
-    the square of the number of languages, so what reaches the driver is
-    bounded; more than ``MAX_LANGUAGES`` values of lang raise ValueError.
+    The four-gram counts cover every text, and every four-gram is kept.
+    Languages are dealt to parts of about ``part_cells`` n-grams times
+    languages, each a broadcast; the arrays of one language must fit a worker.
     Rejection limits come from all rightly predicted training texts of a
     language; one without any gets the floor of all languages' mean.  Without
     any labelled text the model has no language.
     """
-    from barloom.llm.common import stored
-
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).dropna(subset=["text", "lang"])
     counts = stored(gram_counts(rows), "grams")
-    classes = (counts.groupBy("lang", F.expr("cast(floor(log2(n) * 4) as int)").alias("class"))
-               .agg(F.count(F.lit(1)).alias("k")).limit(MAX_LANGUAGES * 256 + 1).collect())       # at most 256 count classes a language
-    langs = sorted({r.lang for r in classes})
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    sizes = {r.lang: r.k for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()}         # a row per language
+    langs = sorted(sizes)
+    units = counts.select(F.col("gram").bitwiseAND(0xFFFF)).distinct().count()
+    models = Models(langs, [], 1.0 / (units + 1), np.full(len(langs), np.inf))
     if not langs:
-        return Model([], [])
-    room, least = model_cells // len(langs) ** 2, {}
+        return models
+    dealt: list[list[str]] = []
     for lang in langs:
-        used, least[lang] = 0, 0
-        for c, k in sorted(((r["class"], r.k) for r in classes if r.lang == lang), reverse=True):
-            used += k
-            if used > room:
-                least[lang] = c + 1
-                break
-    cut = F.create_map(*[F.lit(x) for lang in langs for x in (lang, least[lang])])
-    kept = counts.filter(F.expr("cast(floor(log2(n) * 4) as int)") >= cut[F.col("lang")]).toPandas()
-    per = []
-    for lang in langs:
-        k = kept[kept.lang == lang]
-        keys = k.gram.to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        per.append((keys[order], k.n.to_numpy(np.int64)[order]))
-    model = Model(langs, per)
-    some = rows.select("text", "lang")
-    shared = some.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in by_size(texts):
-                best, _, cross, _ = verdicts(shared.value, texts[a:b])
-                right = np.array([i >= 0 and model_langs[i] == t for i, t in zip(best.tolist(), batch.column(1).slice(a, b - a).to_pylist())], bool)
-                yield pa.RecordBatch.from_arrays([pa.array(best[right]), pa.array(cross[right])], ["best", "h"])
-
-    model_langs = langs
-    stats = (some.mapInArrow(run, "best long, h double").groupBy("best")
-             .agg(F.count(F.lit(1)).alias("n"), F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect())     # a row per language
-    unknown = -np.log(model.uniform)
+        if dealt and (sum(sizes[x] for x in dealt[-1]) + sizes[lang]) * (len(dealt[-1]) + 1) <= part_cells:
+            dealt[-1].append(lang)
+        else:
+            dealt.append([lang])
+    for some in dealt:
+        kept, per = counts.filter(F.col("lang").isin(some)).toPandas(), []
+        for lang in some:
+            k = kept[kept.lang == lang]
+            keys = k.gram.to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            per.append((keys[order], k.n.to_numpy(np.int64)[order]))
+        models.parts.append((langs.index(some[0]), rows.sparkSession.sparkContext.broadcast(Model(some, per, models.uniform))))
+    heard_rows, (best, cross, *_) = scored(rows.select("text", "lang"), models)
+    own = F.get(F.array(*[F.lit(x) for x in langs]), F.col(best).cast("int"))
+    stats = (heard_rows.filter((F.col(best) >= 0) & (own == F.col("lang"))).groupBy(best)
+             .agg(F.count(F.lit(1)).alias("n"), F.avg(cross).alias("m"), F.stddev_pop(cross).alias("s")).collect())     # a row per language
+    unknown = -np.log(models.uniform)
     right = sum(r.n for r in stats)
-    model.limits[:] = ((sum(r.n * r.m for r in stats) / right if right else unknown) + 2 * unknown) / 3
+    models.limits[:] = ((sum(r.n * r.m for r in stats) / right if right else unknown) + 2 * unknown) / 3
     for r in stats:
-        model.limits[r.best] = max(r.m + MARGIN * r.s, (r.m + 2 * unknown) / 3)     # two thirds of the way to knowing nothing, at least
-    model.key = uuid.uuid4().hex
-    return model
+        models.limits[r[best]] = max(r.m + MARGIN * r.s, (r.m + 2 * unknown) / 3)     # two thirds of the way to knowing nothing, at least
+    return models
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, models: Models) -> DataFrame:
     """``doc_id, lang_pred, score, cross_entropy, rejected`` per row; only ``doc_id`` and ``text`` are read.
 
     A null text or one without a letter is ``und`` with score 0, null
     cross-entropy and rejected; so is every text if the model has no language.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = np.array([*shared.value.langs, "und"], dtype=object)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in by_size(texts):
-                best, score, cross, reject = verdicts(shared.value, texts[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(names[best].tolist(), pa.string()), pa.array(score),
-                     pa.array(cross, mask=np.isinf(cross)), pa.array(reject)],
-                    ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
-
-
-def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is not rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    out, (best, cross, mass, chars) = scored(rows, models)
+    name = F.get(F.array(*[F.lit(x) for x in models.langs]), F.col(best).cast("int")) if models.langs else F.lit(None).cast("string")
+    return out.select("doc_id", F.coalesce(F.when(F.col(best) >= 0, name), F.lit("und")).alias("lang_pred"), _score(cross, mass, chars).alias("score"),
+                      F.when(F.col(best) >= 0, F.col(cross)).alias("cross_entropy"), _rejected(models, best, cross).alias("rejected"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            for a, b in by_size(texts):
-                reject = verdicts(shared.value, texts[a:b])[3]
-                yield batch.slice(a, b - a).filter(pa.array(~reject))
 
-    return docs.mapInArrow(run, docs.schema)
+def accepted(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not rejected; a null or empty text is."""
+    out, (best, cross, *rest) = scored(docs, models, text)
+    return out.filter(~_rejected(models, best, cross)).drop(best, cross, *rest)
 
 
-def fit_on_training_rows(docs: DataFrame, **settings) -> Model:
+def fit_on_training_rows(docs: DataFrame, **settings) -> Models:
     return train(docs.filter(~held_out(F.col("doc_id"))), **settings)

@@ -82,7 +82,7 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
     import numpy as np
 
     df = spark.createDataFrame([(i, t, l, "s", 1) for i, (t, l) in enumerate([("abra cadabra", "x"), ("abba baba abracadabra", "x"), ("zzyzx xyzzy", "y")])], DOC)
-    m = language.train(df)
+    m = language.train(df).parts[0][1].value
     units = np.unique(m.orders[0][0])
     for ctx in ("\x02\x02\x02", "\x02\x02a", "abr", "qqq", "zzy"):
         base = 0
@@ -112,6 +112,29 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in language.predict(df, none).collect()} == {"und"} and language.accepted(df, none).count() == 0
 
 
+def test_parts_change_no_prediction_and_drop_no_gram(spark):
+    """Sixty languages in one part, in many parts, and four of them alone: one prediction per text."""
+    ship_package(spark)
+    rng = random.Random(6)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(25)] for k in range(60)}
+    rows = [(100 * i + j, " ".join(rng.choice(ws) for _ in range(20)), lang) for i, (lang, ws) in enumerate(words.items()) for j in range(3)]
+    rows.append((9_999, "", "l00"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many, few = language.train(df), language.train(df, part_cells=2_000), language.train(df.filter("lang < 'l04'"))
+    assert len(one.parts) == 1 and len(many.parts) > 10 and np.allclose(one.limits, many.limits)
+    grams = [
+        len({g for r in rows if r[2] == lang for g in language.grams([w for t in r[1].lower().split() for w in language.letters(t)])[0].tolist()})
+        for lang in words]
+    kept = [int((p.value.orders[-1][1][:, j] > 0).sum()) for _, p in many.parts for j in range(len(p.value.langs))]
+    assert kept == grams
+    a, b = ({r.doc_id: r for r in language.predict(df, m).collect()} for m in (one, many))
+    assert all(a[i].lang_pred == b[i].lang_pred and abs(a[i].score - b[i].score) < 1e-9 and a[i].rejected == b[i].rejected for i in a)
+    right = {d: lang for d, _, lang in rows if d != 9_999}
+    assert all(a[i].lang_pred == right[i] for i in right) and a[9_999].lang_pred == b[9_999].lang_pred == "und"
+    c = {r.doc_id: r.lang_pred for r in language.predict(df.filter("lang < 'l04'"), few).collect()}
+    assert all(c[i] == a[i].lang_pred for i in c)
+
+
 def test_rejection_limits_come_from_all_training_rows(spark):
     ship_package(spark)
     text = lambda i: f"{'abcdefgh'[i % 8]}a {'klmnop'[i % 6]}o {'rstu'[i % 4] * (1 + i % 3)}"
