@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from barloom.llm import language, sharding, simhash, url_filter
+from barloom.llm import language, sharding, url_filter
 from barloom.llm.common import ship_package, stored
 from check import compare, oracle
 from conftest import SF
+from test_llm_near import classes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -186,16 +187,7 @@ def test_pipeline_stages(spark):
         best[r.text] = max(best.get(r.text, r.doc_id), r.doc_id)
     assert {r.doc_id for r in b.collect()} == set(best.values())
     c = stored(stage["simhash_near_dedup"](spark, b, SF), "c")
-    left = {r.doc_id: simhash.fingerprint(r.text) for r in b.collect()}
-    ids = sorted(left)
-    component = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for i in ids:
-            for j in ids:
-                if (left[i] ^ left[j]).bit_count() <= 4 and component[j] < component[i]:
-                    component[i], changed = component[j], True
+    component, _ = classes({r.doc_id: r.text for r in b.collect()})
     assert {r.doc_id for r in c.collect()} == set(component.values())
     assert all(x.columns == before.columns for x in (a, b, c))
     d = stage["nnls_packing"](spark, c, SF).collect()
