@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import exact_dedup, language, packing, simhash
+from barloom.llm import exact_dedup, language, near as similar, packing
 from barloom.llm.common import documents, ship_package, stored
 
 
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near fingerprints, the one with the smallest id."""
-    return simhash.deduplicate(docs)
+    """One document of each component of near fingerprints (five-word shingles, similarity 0.8), the one with the smallest id."""
+    return similar.deduplicate(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
