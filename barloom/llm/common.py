@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +80,19 @@ def by_size(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the system, so that a later stage in the same executor finds it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def text_slices(texts: pa.Array, rows: int = 1000, limit: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+    """First position and texts (null: empty) of slices of a column, each of about ``limit`` characters and at most ``rows`` texts."""
+    for at in range(0, len(texts), rows):
+        part = [t or "" for t in texts.slice(at, rows).to_pylist()]
+        for a, b in by_size(part, limit):
+            yield at + a, part[a:b]

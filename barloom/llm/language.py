@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import by_size, fresh, stored
+from barloom.llm.common import by_size, fresh, give_back, stored
 
 ORDER = 4
 START, END = "\x02", "\x03"
@@ -247,6 +247,7 @@ def scored(docs: DataFrame, models: Models, text: str = "text") -> tuple[DataFra
                     better = cross < old[1]
                     new = [np.where(better, best, old[0]), np.where(better, cross, old[1]), np.logaddexp(old[2], mass), np.maximum(old[3], n)]
                     yield pa.RecordBatch.from_arrays([*rows.columns[:-4], *map(pa.array, new)], rows.schema.names)
+            give_back()
 
         if i:
             out = stored(out, "languages")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import by_size, stored
+from barloom.llm.common import give_back, stored, text_slices
 from barloom.llm.components import components
 from barloom.llm.simhash import CHUNK, links
 
@@ -98,16 +98,16 @@ def sketches(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     """``doc_id, n, fp, sig, bands, small`` of every row with an id: ``fp`` is the first word of ``sig``, ``small`` the shingles of short documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in by_size(texts):
-                sets = [shingles(t, width, seed) for t in texts[a:b]]
+            for a, texts in text_slices(batch.column(1)):
+                sets = [shingles(t, width, seed) for t in texts]
                 sig = [long_fingerprint(h) for h in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()),
+                    [batch.column(0).slice(a, len(texts)), pa.array([len(h) for h in sets], pa.int64()),
                      pa.array(np.array([s[0] for s in sig], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary()),
                      pa.array([bands(h).view(np.int64) for h in sets], pa.list_(pa.int64())),
                      pa.array([h.view(np.int64) if len(h) < SMALL else None for h in sets], pa.list_(pa.int64()))],
                     ["doc_id", "n", "fp", "sig", "bands", "small"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     return rows.mapInArrow(run, "doc_id long, n long, fp long, sig binary, bands array<long>, small array<long>")
@@ -152,7 +152,7 @@ def _banded(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
     def solve(t: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
         node, n = np.asarray(t.column("node")), np.asarray(t.column("n"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(-1, WORDS)
-        small = [None if s is None else np.array(s, np.int64) for s in t.column("small").to_pylist()]
+        small = [s.values.to_numpy() if s.is_valid else None for s in t.column("small")]
         pairs, s = [], 0
         for e in ends.tolist():
             pairs.extend((s + i, s + j, k) for i, j, k in _forest(sig[s:e], n[s:e], small[s:e], similarity))
@@ -178,6 +178,7 @@ def _banded(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
             held = t
         if held is not None and len(held):
             yield solve(held, np.array([len(held)]))
+        give_back()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, sure boolean")
 
@@ -203,10 +204,10 @@ def settled(docs: DataFrame, found: DataFrame, similarity: float, width: int = 5
     """Those links ``a, b`` of ``found`` whose texts in ``docs`` have this exact Jaccard similarity; other texts are not read into sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in by_size(texts):
-                sets = [shingles(t, width, seed).view(np.int64) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], ["id", "words"])
+            for a, texts in text_slices(batch.column(1)):
+                sets = [shingles(t, width, seed).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(sets, pa.list_(pa.int64()))], ["id", "words"])
+        give_back()
 
     ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ends, "id", "left_semi")
