@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import by_size, stored
+from barloom.llm.common import by_size, give_back, stored, text_slices
 from barloom.llm.tokens import library_encoder
 from barloom.plans.rank import numbered
 
@@ -111,14 +111,15 @@ def pieces(docs: DataFrame, vocabulary: str, window: int, end_id: int | None, ke
         ids_of = library_encoder(vocabulary, keep_space)
         tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in by_size(texts):
+            names = batch.column(0).to_pylist()
+            for a, texts in text_slices(batch.column(1), limit=2_000_000):
                 rows = [(d, s, min(window, n - s), zlib.crc32(p[4 * s:4 * (s + window)]), n)
-                        for d, p in ((d, q + tail) for d, q in zip(names[a:b], ids_of(texts[a:b])))
+                        for d, p in ((d, q + tail) for d, q in zip(names[a:], ids_of(texts)))
                         for n in (len(p) // 4,) for s in range(0, n, window)]
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                                  ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
