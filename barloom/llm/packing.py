@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import by_size, give_back, stored, text_slices
-from barloom.llm.tokens import library_encoder
+from barloom.llm.tokens import CACHE_UNITS, library_encoder
 from barloom.plans.rank import numbered
 
 ITERATIONS = 300
@@ -105,10 +105,11 @@ def solve(hist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             np.array([n for _, n in chosen], np.int64))
 
 
-def pieces(docs: DataFrame, vocabulary: str, window: int, end_id: int | None, keep_space: bool) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, window: int, end_id: int | None, keep_space: bool,
+           cache_units: int = CACHE_UNITS) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` of the cut documents; a null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = library_encoder(vocabulary, keep_space)
+        ids_of = library_encoder(vocabulary, keep_space, cache_units)
         tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             names = batch.column(0).to_pylist()
@@ -119,7 +120,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int, end_id: int | None, ke
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                                  ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        give_back()
+                give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -144,7 +145,8 @@ def _slots(pats: np.ndarray, repeats: np.ndarray, window: int) -> list[tuple]:
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int | None = 1, keep_space: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int | None = 1, keep_space: bool = False,
+         cache_units: int = CACHE_UNITS) -> DataFrame:
     """Place every token of ``docs`` (``doc_id``, ``text``; other columns are ignored) in sequences of ``window`` ids.
 
     Returns a row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
@@ -153,9 +155,11 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int | Non
     table gives no piece.  The histogram has ``window`` counts whatever the
     input; pieces of one length are numbered in range partitions, so a common
     length is not one task.  Texts of a document are tokenised once.
+    A worker remembers the ids of up to twice ``cache_units`` units (about 200
+    bytes each); fewer cost time, never results.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, vocabulary, window, end_id, keep_space), "pieces")
+    cut = stored(pieces(docs, vocabulary, window, end_id, keep_space, cache_units), "pieces")
     counts = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()           # ``window`` rows at most
     hist = np.zeros(window + 1, np.int64)
     for r in counts:

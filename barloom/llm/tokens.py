@@ -97,7 +97,7 @@ class LibraryEncoder:
     library alone knows what to make of it.
     """
 
-    def __init__(self, path: str, keep_space: bool):
+    def __init__(self, path: str, keep_space: bool, cache_units: int = CACHE_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -105,7 +105,7 @@ class LibraryEncoder:
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.mark = self.specials[-1]
         self.mark_id = self.tok.token_to_id(self.mark)
-        self.known, self.old = {}, {}
+        self.cache_units, self.known, self.old = cache_units, {}, {}
 
     def _new_units(self, units: list[str]) -> list[bytes]:
         """Many units per library call, parted by a special token that none of them spells."""
@@ -120,8 +120,8 @@ class LibraryEncoder:
         return out
 
     def _lookup(self, units: list[str]) -> list[bytes]:
-        """Packed ids of distinct units; what is not used for a generation of ``CACHE_UNITS`` is forgotten."""
-        if len(self.known) > CACHE_UNITS:
+        """Packed ids of distinct units; what is not used for a generation of ``cache_units`` is forgotten."""
+        if len(self.known) > self.cache_units:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
         out = [known.get(u) for u in units]
@@ -175,9 +175,9 @@ class LibraryEncoder:
         return out
 
 
-def library_encoder(path: str, keep_space: bool) -> LibraryEncoder:
+def library_encoder(path: str, keep_space: bool, cache_units: int = CACHE_UNITS) -> LibraryEncoder:
     """The worker's encoder for a vocabulary file of the tokenizers library: what its plain call gives without added tokens."""
-    key = (path, keep_space)
+    key = (path, keep_space, cache_units)
     if key not in _WORKER:
-        _WORKER[key] = LibraryEncoder(path, keep_space)
+        _WORKER[key] = LibraryEncoder(*key)
     return _WORKER[key]

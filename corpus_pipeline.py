@@ -30,7 +30,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 2,048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_units=150_000)   # workers share the executor with what earlier stages left
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("simhash_near_dedup", near), ("nnls_packing", packed)]
