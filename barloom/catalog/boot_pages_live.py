@@ -117,3 +117,16 @@ query("book_stream", "symbol ts best_bid:4 best_ask:4 mid:4 spread:4 spread_bps:
 query("trade_stream", "symbol ts open:4 high:4 low:4 close:4 volume:2",
       """SELECT symbol, date_trunc('second', ts) AS ts, arg_min(price, ROW(ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, ROW(ts, seq)) AS
          close, sum(volume) AS volume FROM ticks GROUP BY 1, 2""", TICKS)(lambda s, d: L.second_bars(L.trade_stream(V.ticks(s, d))))
+query("last_trades", "symbol ts seq price:4 volume:2 side",
+      """SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC)<=100""", TICKS)(
+    lambda s, d: L.last_trades(V.ticks(s, d), 100))
+query("toxicity_windows", "symbol ts toxicity:6",
+      """SELECT symbol, w AS ts, CASE WHEN v>0 THEN abs(2*b-v)/v ELSE 0 END AS toxicity FROM (SELECT symbol, w, sum(CASE WHEN side='buy' THEN volume
+         ELSE 0 END) AS b, sum(volume) AS v FROM (SELECT *, time_bucket(INTERVAL 10 SECOND, ts)-to_seconds(10*k) AS w FROM ticks, range(0, 6) t(k))
+         GROUP BY 1, 2)""", TICKS)(lambda s, d: L.toxicity_windows(L.trade_stream(V.ticks(s, d))))
+query("iceberg_sessions", "symbol side price:4 fills size:2 start end_ts",
+      """SELECT symbol, side, avg(price) AS price, count(*) AS fills, sum(volume) AS size, min(ts) AS start, max(ts)+INTERVAL 6 HOUR AS end_ts FROM (
+          SELECT *, sum(new) OVER (PARTITION BY symbol, side, band ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN
+           ts-lag(ts) OVER (PARTITION BY symbol, side, band ORDER BY ts, seq)<=INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM (
+           SELECT *, floor(ln(price)/.005) AS band FROM ticks))) GROUP BY symbol, side, band, run HAVING count(*)>=3""", TICKS)(
+    lambda s, d: L.iceberg_sessions(L.trade_stream(V.ticks(s, d)), 0.005, "6 hours").withColumnRenamed("end", "end_ts"))

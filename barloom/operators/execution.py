@@ -30,7 +30,7 @@ def execution_quality(fills: DataFrame, mids: DataFrame | None = None, key=("ord
 def schedule_twap(orders: DataFrame, slices: int) -> DataFrame:
     """Equal slices over the duration. Columns: order_id, ts, amount, price, duration_min, daily_volume."""
     o = orders.withColumn("impact_bps", F.sqrt(F.col("amount") / F.col("daily_volume")) * 100)
-    step = F.col("duration_min") * 60_000_000 / slices
+    step = F.col("duration_min") * 6e7 / slices
     return o.withColumn("slice", F.explode(F.sequence(F.lit(1), F.lit(slices)))).withColumn(
         "scheduled", F.timestamp_micros((F.unix_micros("ts") + (F.col("slice") - 1) * step).cast("long"))).withColumn(
         "slice_amount", F.col("amount") / slices)
@@ -51,10 +51,20 @@ def volume_curve(bars: DataFrame, slices: int, series: Series = BAR_SERIES, whol
 
 
 def schedule_vwap(orders: DataFrame, bars: DataFrame, slices: int, series: Series = BAR_SERIES, whole: bool = False) -> DataFrame:
-    """Slices weighted by the volume curve of the order's symbol (``whole``: of all its bars)."""
-    curve = volume_curve(bars, slices, series, whole).select("symbol", "slice", "weight")
-    step = F.col("duration_min") * 60_000_000 / slices
-    return orders.join(curve, "symbol").withColumn("slice_amount", F.col("amount") * F.col("weight")).withColumn(
+    """Slices weighted by the volume curve of the order's series (``whole``: of all its bars).
+
+    Orders meet curves on every key column of the series that they have. Bars that differ only in the others
+    (two exchanges, say) are added up per timestamp, so an order never multiplies.
+    """
+    on = [c for c in series.key if c in orders.columns]
+    if not on:
+        raise ValueError(f"orders need one of {series.key}")
+    if len(on) < len(series.key):
+        bars = bars.groupBy(*on, *series.order).agg(F.sum("volume").alias("volume"))
+        series = Series(tuple(on), series.order, series.bucket)
+    curve = volume_curve(bars, slices, series, whole).select(*on, "slice", "weight")
+    step = F.col("duration_min") * 6e7 / slices
+    return orders.join(curve, on).withColumn("slice_amount", F.col("amount") * F.col("weight")).withColumn(
         "scheduled", F.timestamp_micros((F.unix_micros("ts") + (F.col("slice") - 1) * step).cast("long")))
 
 

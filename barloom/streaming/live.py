@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 LATE = "10 seconds"
 
@@ -69,7 +70,15 @@ def book_view(books: DataFrame, depth: int = 20) -> DataFrame:
 
 
 def last_trades(trades: DataFrame, n: int = 100) -> DataFrame:
-    """The last n trades per symbol after each batch, by (ts, seq); keyed state holds only those n."""
+    """The last n trades per symbol by (ts, seq); of a stream after each batch, keyed state holding only those n.
+
+    A batch table keeps them by a row number whose limit is applied before the shuffle (``n`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``), so a busy symbol is not gathered.
+    """
+    if not trades.isStreaming:
+        newest = Window.partitionBy("symbol").orderBy(F.col("ts").desc(), F.col("seq").desc())
+        return trades.select("symbol", "ts", "seq", "price", "volume", "side", F.row_number().over(newest).alias("_k")).filter(
+            F.col("_k") <= n).drop("_k")
     fields = "ts timestamp, seq long, price double, volume double, side string"
 
     def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
