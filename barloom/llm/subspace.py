@@ -4,12 +4,14 @@ Unit vectors with cosine >= c lie within squared distance 2 - 2c.  After a
 rotation the coordinates are cut into low-dimensional blocks; each block gets
 the share of that budget that its dimensions have, and vectors within the whole
 budget are within the share in at least one block.  Each block is range-joined:
-a grid over its first coordinates, with boundaries at quantiles of all vectors,
-gives every vector a home cell and, in the greater cells that its ball
-touches, a probe.
-
-What is shuffled is the rotated vector as signed bytes, in three digits of base
-254 per component.  Rounding to the first digit moves a vector by at most
+one side's vectors are cut at medians into cells, whose boxes find the vectors
+of the other side that some ball of the cell can touch.
+
+Vectors are packed once into tiles: the rotated vector as signed bytes, in three
+digits of base 254 per component.  Each pair of tiles is one row of a product
+that pulls both tiles from the stored table, so no vector is copied per cell or
+per partner and the work tables grow with the input; what grows faster is
+arithmetic and what tasks read.  Rounding to the first digit moves a vector by at most
 sqrt(dimensions) / 254, so distances between rounded vectors bound the true
 ones on both sides.  Pairs that the first digit leaves open get a second look at
 all three digits in the same task, whose bounds are 64,516 times closer; only a
@@ -22,21 +24,26 @@ and a spanning forest, not all pairs, dense groups included.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.common import stored
 from barloom.llm.components import components
 
 SCALE = 127
 BASE = 254                       # of the two further digits of a component
-CELL_ROWS = 1024
+CELL_ROWS = 256
 BLOCK_DIMS = 8
-CHUNK_ROWS = 16 * CELL_ROWS      # homes and probes of a cell in one task
+CHUNK_ROWS = 16_384              # rows of a tile at most
+TILE_BYTES = 4 << 20             # and its bytes, about
+TILES = 24                       # smaller tiles before fewer, for tasks enough
+BATCH_PAIRS = 4                  # pairs of tiles handed to a worker at once
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -46,8 +53,10 @@ def rotation(dims: int, seed: int = 7) -> np.ndarray:
 
 
 def vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``vec_id, v`` (array<double>): null unless every component is finite and one is not zero."""
-    v = F.col(embedding).cast("array<double>")
+    """``vec_id, v`` (array<float> as given, else array<double>): null unless every component is finite and one is not zero."""
+    kind = df.schema[embedding].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    v = F.col(embedding) if single else F.col(embedding).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     some = F.exists(v, lambda x: x != 0)
     return df.select(F.col(vec_id).alias("vec_id"), F.when(~bad & some, v).alias("v"))
@@ -58,7 +67,7 @@ def _rounded(classes: DataFrame, dims: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(dims)
         for batch in batches:
-            x = np.asarray(batch.column(2).flatten()).reshape(-1, dims)
+            x = np.asarray(batch.column(2).flatten()).astype(np.float64, copy=False).reshape(-1, dims)
             x = x / np.abs(x).max(axis=1, keepdims=True)                 # no overflow in the squares
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             y = x @ turn * SCALE
@@ -72,62 +81,76 @@ def _rounded(classes: DataFrame, dims: int) -> DataFrame:
     return classes.select("cid", "w", "v").mapInArrow(run, "cid long, w long, q binary")
 
 
-def _boundaries(rounded: DataFrame, dims: int, slices: int) -> np.ndarray:
-    """``slices - 1`` inner quantiles of each rotated coordinate, from counts over all vectors."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((dims, 256), np.int64)
-        for batch in batches:
-            q = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int8).reshape(-1, 3 * dims)[:, :dims].astype(np.int64) + 128
-            for d in range(dims):
-                counts[d] += np.bincount(q[:, d], minlength=256)
-        d, v = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(v - 128), pa.array(counts[d, v])], ["d", "v", "n"])
-
-    counts = np.zeros((dims, 256))
-    for r in rounded.select("q").mapInArrow(run, "d long, v long, n long").groupBy("d", "v").agg(F.sum("n").alias("n")).collect():
-        counts[r.d, r.v + 128] = r.n                                     # dims x 256 rows at most
-    total = np.cumsum(counts, axis=1)
-    share = np.arange(1, slices) / slices
-    return np.array([[np.searchsorted(t, s * t[-1]) - 128 + 0.5 for s in share] for t in total]).reshape(dims, slices - 1)
-
-
-def _grid(n: int, width: int) -> tuple[int, int]:
-    """Coordinates and slices per coordinate for cells of about CELL_ROWS vectors."""
-    cells = max(1.0, n / CELL_ROWS)
-    k = 1
-    while k < width and cells ** (1 / k) > 5:
-        k += 1
-    return k, max(1, ceil(cells ** (1 / k)))
-
-
-def _placed(rounded: DataFrame, dims: int, blocks: list[tuple[int, int]], limits: list[float], edges: np.ndarray,
-            k: int, slices: int) -> DataFrame:
-    """``block, cell, home, cid, w, q``: home cells, and probes of greater cells within the block's limit."""
+def _tiled(rounded: DataFrame, dims: int, tiles: int) -> DataFrame:
+    """``tile, rows``: each tile's ids, weights and digits one after the other in one value; vectors are dealt by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def close() -> pa.RecordBatch:
+            cid, w = (np.concatenate([c[i] for c in held]).astype("<i8").tobytes() for i in (0, 1))
+            body = b"".join([cid, w, *[c[2] for c in held]])
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([body], pa.binary())], ["tile", "rows"])
+
         for batch in batches:
-            q = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, 3 * dims)[:, :dims]
-            for b, (s, e) in enumerate(blocks):
-                m = min(k, e - s)
-                dist, row = np.zeros(len(q)), np.arange(len(q))           # cells still within reach, and their squared distance
-                home, cell = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
-                for j in range(m):
-                    x, cuts = q[:, s + j].astype(float), edges[s + j]
-                    own = np.searchsorted(cuts, x)
-                    lo, hi = np.append(-np.inf, cuts), np.append(cuts, np.inf)
-                    gap = np.maximum(0, np.maximum(lo[None, :] - x[:, None], x[:, None] - hi[None, :])) ** 2
-                    new = dist[:, None] + gap[row]
-                    keep = new <= limits[b]
-                    at, t = np.nonzero(keep)
-                    row, dist, cell = row[at], new[at, t], cell[at] * slices + t
-                    home = home * slices + own
-                up = cell >= home[row]
-                row, cell = row[up], cell[up]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), b, np.int32)), pa.array(cell), pa.array(cell == home[row]),
-                     batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row))],
-                    ["block", "cell", "home", "cid", "w", "q"])
-
-    return rounded.mapInArrow(run, "block int, cell long, home boolean, cid long, w long, q binary")
+            tile = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if start == end:
+                    continue
+                if held and tile[start] != last:
+                    yield close()
+                    held = []
+                last = int(tile[start])
+                part = batch.slice(start, end - start)
+                held.append((np.asarray(part.column(1)), np.asarray(part.column(2)), b"".join(part.column(3).to_pylist())))
+        if held:
+            yield close()
+
+    return (rounded.select(F.pmod(F.xxhash64("q"), F.lit(tiles)).alias("tile"), "cid", "w", "q").repartition(tiles, "tile")
+            .sortWithinPartitions("tile").mapInArrow(run, "tile long, rows binary"))
+
+
+def _cells(g: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows of ``g`` cut at the median of their widest coordinate until a cell has ``size`` rows at most."""
+    out, todo = [], [np.arange(len(g))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        x = g[rows]
+        x = x[:, np.argmax(x.max(axis=0) - x.min(axis=0))]
+        order, mid = np.argpartition(x, len(rows) // 2), len(rows) // 2
+        todo += [rows[order[:mid]], rows[order[mid:]]]
+    return out
+
+
+class _Tile:
+    """A tile's columns; ``f`` are the first digits, ``sides`` each block's factors of a product that gives squared distances."""
+
+    def __init__(self, body: bytes, dims: int, blocks: list[tuple[int, int]]):
+        n = len(body) // (16 + 3 * dims)
+        self.cid, self.w = np.frombuffer(body, "<i8", n), np.frombuffer(body, "<i8", n, 8 * n)
+        self.q = np.frombuffer(body, np.int8, n * 3 * dims, 16 * n).reshape(n, 3 * dims)
+        self.f, one = self.q[:, :dims].astype(np.float32), np.ones((n, 1), np.float32)
+        self.sides = []
+        for s, e in blocks:
+            g = self.f[:, s:e]
+            sq = (g * g).sum(axis=1, keepdims=True)
+            self.sides.append((np.hstack([-2 * g, sq, one]), np.hstack([g, one, sq]).T.copy()))
+        self.cells: dict[int, list[np.ndarray]] = {}
+
+
+@contextmanager
+def _few_records(spark: SparkSession, records: int):
+    """Batches of ``records`` rows for workers while a table of large values is written."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(records))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _bounds(reach: float, dims: int) -> tuple[float, float]:
@@ -135,16 +158,37 @@ def _bounds(reach: float, dims: int) -> tuple[float, float]:
     return -1.0 if reach <= sqrt(dims) else max(0.0, reach - sqrt(dims) - 1e-3) ** 2, (reach + sqrt(dims)) ** 2
 
 
-def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int, int]], limits: list[float], reach: float) -> DataFrame:
+def _settle(pairs: DataFrame, dims: int, blocks: list[tuple[int, int]], limits: list[float], reach: float, cell: int) -> DataFrame:
     """``kind, a, b, n``: sure links counted per vector (kind 0), spanning links (1), pairs at the very limit (2)."""
     sure, maybe = _bounds(reach, dims)
     sure_fine, maybe_fine = _bounds(reach * BASE ** 2, dims)
 
-    def solve(block: int, sub: tuple[int, int], own: np.ndarray, home: np.ndarray, cid: np.ndarray, w: np.ndarray, q: np.ndarray):
-        n, f, home = len(q), q[:, :dims].astype(np.float32), home > 0
-        s, e = blocks[block]
-        g = f[:, s:e]
-        sq = (g * g).sum(axis=1)
+    def near(a: _Tile, b: _Tile) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Block, rows of ``a`` and rows of ``b`` within the block's limit; in one tile the lesser row is of ``a``."""
+        for k in range(len(blocks)):
+            left, right = a.sides[k][0], b.sides[k][1]
+            x = right[:-2]
+            if k not in a.cells:
+                a.cells[k] = _cells(a.f[:, slice(*blocks[k])], cell)
+            for rows in a.cells[k]:
+                g = a.f[rows, slice(*blocks[k])]
+                gap = np.maximum(g.min(axis=0)[:, None] - x, x - g.max(axis=0)[:, None])
+                np.maximum(gap, 0, out=gap)
+                gap *= gap
+                some = np.flatnonzero(gap.sum(axis=0) <= limits[k])
+                if not len(some):
+                    continue
+                i, j = np.divmod(np.flatnonzero(left[rows] @ right[:, some] <= limits[k]), len(some))   # exact in integers
+                i, j = rows[i], some[j]
+                if a is b:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield k, i, j
+
+    def solve(a: _Tile, b: _Tile):
+        alone = a is b
+        f, q, cid, w = (x if alone else np.concatenate([x, y]) for x, y in ((a.f, b.f), (a.q, b.q), (a.cid, b.cid), (a.w, b.w)))
+        n, shift = len(cid), 0 if alone else len(a.cid)
         count, label = np.zeros(n, np.int64), np.arange(n)
         kinds = [[], [], [], []]
 
@@ -152,18 +196,8 @@ def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int,
             for col, v in zip(kinds, (np.full(len(a), kind, np.int32), a, b, m)):
                 col.append(v)
 
-        order = np.argsort(~home, kind="stable")                      # homes first: every admitted pair has one
-        f, g, sq, cid, w, own, q = f[order], g[order], sq[order], cid[order], w[order], own[order], q[order]
-        homes, one = int(home.sum()), np.ones((n, 1), np.float32)
-        left, right = np.hstack([-2 * g, sq[:, None], one]), np.hstack([g, one, sq[:, None]]).T.copy()
-        for a in range(0, homes, 256):                                # squared distances by one product, exact in integers
-            z = min(a + 256, homes)
-            i, j = np.divmod(np.flatnonzero(left[a:z] @ right[:, a:] <= limits[block]), n - a)
-            i, j = i + a, j + a
-            ok = j > i
-            if sub[0] != sub[1]:
-                ok &= own[i] != own[j]                                # pairs within a chunk have their own task
-            i, j = i[ok], j[ok]
+        for block, i, j in near(a, b):
+            j = j + shift
             for p in range(0, len(i), 1 << 17):
                 x, y = i[p:p + (1 << 17)], j[p:p + (1 << 17)]
                 d = f[x] - f[y]
@@ -209,35 +243,17 @@ def _settle(rows: DataFrame, keys: list[str], dims: int, blocks: list[tuple[int,
         return [np.concatenate(k) for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []                                 # parts of the open group
-        last = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            cols = [np.concatenate(c) for c in zip(*held)]
-            if cols and len(cols[0]) > 1:
-                kind, a, b, n = solve(last[0], last[2:], *cols)
+        last, a = None, None                                              # the left tile stays while its partners pass
+        for batch in batches:
+            for left, right, ours, theirs in zip(*batch.columns):
+                if left.as_py() != last:
+                    last, a = left.as_py(), _Tile(ours.as_py(), dims, blocks)
+                b = a if right.as_py() == last else _Tile(theirs.as_py(), dims, blocks)
+                kind, x, y, n = solve(a, b)
                 if len(kind):
-                    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(n)], ["kind", "a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y), pa.array(n)], ["kind", "a", "b", "n"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [np.asarray(c) for c in batch.columns[:-1]]
-            cols.append(np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.int8).reshape(-1, 3 * dims))
-            change = np.zeros(batch.num_rows - 1, bool)
-            for c in cols[:len(keys)]:
-                change |= c[1:] != c[:-1]
-            edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-            for start, end in zip(edges[:-1], edges[1:]):
-                key = tuple(int(c[start]) for c in cols[:len(keys)])
-                if key != last:
-                    yield from close()
-                    held, last = [], key
-                held.append([c[start:end] for c in cols[len(keys):]])
-        yield from close()
-
-    cut = rows.select(*keys, "own", F.col("home").cast("int").alias("home"), "cid", "w", "q").repartition(*keys).sortWithinPartitions(*keys)
-    return cut.mapInArrow(run, "kind int, a long, b long, n long")
+    return pairs.mapInArrow(run, "kind int, a long, b long, n long")
 
 
 def _links(classes: DataFrame, dims: int, cosine: float, block_dims: int, chunk: int) -> tuple[DataFrame, DataFrame]:
@@ -249,18 +265,15 @@ def _links(classes: DataFrame, dims: int, cosine: float, block_dims: int, chunk:
     budget = 2 - 2 * cosine + 1e-9
     slack = [sqrt(e - s) for s, e in blocks]                              # rounding, in units of 1 / SCALE
     limits = [(sqrt(budget * (e - s) / dims) * SCALE + r) ** 2 for (s, e), r in zip(blocks, slack)]
-    rounded = stored(_rounded(classes, dims), "rounded")
-    k, slices = _grid(n, min(e - s for s, e in blocks))
-    placed = _placed(rounded, dims, blocks, limits, _boundaries(rounded, dims, slices), k, slices)
-    # a pair within the limit has a home in one of both cells: the greater one's
-    heavy = (placed.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > chunk))
-    c = F.ceil(F.coalesce("c", F.lit(1)) / chunk).cast("int")
-    cut = (placed.join(heavy, ["block", "cell"], "left").withColumn("c", c)
-           .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("c")).cast("int"))
-           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-           .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")))
-    found = stored(_settle(cut, ["block", "cell", "x", "y"], dims, blocks, limits, sqrt(budget) * SCALE), "settled")
-    vs = classes.select("cid", "v", "w")
+    room = max(1, min(chunk, TILE_BYTES // (3 * dims + 16)))
+    tiles = stored(_tiled(_rounded(classes, dims), dims, max(ceil(n / room), min(ceil(n / (4 * CELL_ROWS)), TILES))), "tiles")
+    left, right = tiles.toDF("left", "ours"), tiles.toDF("right", "theirs")
+    # each pair of tiles once, dealt evenly over both orders
+    once = (F.col("left") == F.col("right")) | ((F.col("left") < F.col("right")) == ((F.col("left") + F.col("right")) % 2 == 0))
+    pairs = left.join(right.hint("shuffle_replicate_nl"), once).select("left", "right", "ours", "theirs")
+    with _few_records(classes.sparkSession, BATCH_PAIRS):
+        found = stored(_settle(pairs, dims, blocks, limits, sqrt(budget) * SCALE, CELL_ROWS), "settled")
+    vs = classes.select("cid", F.col("v").cast("array<double>").alias("v"), "w")
     pairs = (found.filter("kind = 2").select("a", "b").join(vs.toDF("a", "va", "wa"), "a").join(vs.toDF("b", "vb", "wb"), "b"))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
     unit = lambda p: F.transform(p, lambda s: s / F.array_max(F.transform(p, F.abs)))
@@ -280,9 +293,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id",
     an id and an empty table's rows link with nothing.  Equal vectors are one
     class from the start, counted by its size, so copies cost nothing.  An id
     that repeats with another vector is one node.  Vectors of different lengths
-    have no cosine and never link; each length is joined by itself.  Cells with
-    more than ``chunk`` rows are cut by hash and each pair of chunks is its own
-    task.
+    have no cosine and never link; each length is joined by itself.  Tiles have
+    about ``chunk`` rows at most; every pair of tiles is compared by itself.
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must lie in (0, 1]")
