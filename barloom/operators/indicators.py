@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import safe_div
 from ..plans.blocks import Frame, Series, framed, islands, tail
+from ..plans.lineage import cut
 from ..sources.views import BAR_SERIES
 
 
@@ -120,9 +121,10 @@ def regime_stats(rets: DataFrame, window: int = 20, periods: int = 365,
 
 def bb_squeeze(bars: DataFrame, p: int = 20, threshold: float = 0.5, series: Series = BAR_SERIES) -> DataFrame:
     """Last bandwidth against the mean bandwidth of the series, and length of the current squeeze."""
-    bw = bollinger(bars, p, 2.0, series).filter(F.col("bb_mid").isNotNull()).select(
+    # three aggregates read the bandwidths: written once, the bars are neither built nor held again for each
+    bw = cut(bollinger(bars, p, 2.0, series).filter(F.col("bb_mid").isNotNull()).select(
         *series.key, *series.order, (F.col("bb_width") * 100).alias("bw"),
-        (F.col("close") > F.col("bb_mid")).alias("above"))
+        (F.col("close") > F.col("bb_mid")).alias("above")))
     g = bw.groupBy(*series.key).agg(F.avg("bw").alias("avg_bw"), F.max_by("above", F.struct(*series.order))
                                     .alias("above_middle"), F.max_by("bw", F.struct(*series.order))
                                     .alias("bandwidth"), F.max(F.struct(*series.order)).alias("_last"))

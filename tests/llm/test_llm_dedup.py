@@ -260,3 +260,25 @@ def test_a_dense_group_at_the_limit_gives_no_pair_rows(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id) for r in subspace.near_duplicates(df).collect()}
     assert got == brute_links(v, list(range(1500)), 0.95)
     assert written["settled"] < 20 * 1500 and written["verified"] < 1500
+
+
+def test_subspace_tiles_are_pulled_not_copied(spark, monkeypatch):
+    """The pairs of tiles come without an exchange or an explode, and the tiles hold every vector once."""
+    ship_package(spark)
+    stored, seen = subspace.stored, {}
+
+    def noted(df, name):
+        seen[name] = df._jdf.queryExecution().executedPlan().toString()
+        out = stored(df, name)
+        seen[name + "-rows"] = out
+        return out
+
+    monkeypatch.setattr(subspace, "stored", noted)
+    v = np.random.default_rng(3).standard_normal((300, 64))
+    df = spark.createDataFrame([(i, [float(x) for x in a]) for i, a in enumerate(v)], "vec_id long, embedding array<float>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in subspace.near_duplicates(df, 0.3, chunk=100).collect()}
+    assert got == brute_links(v.astype(np.float32).astype(float), list(range(300)), 0.3)
+    assert not any(x in seen["settled"] for x in ("Exchange", "Generate")) and "CartesianProduct" in seen["settled"]
+    assert sum(len(r.rows) for r in seen["tiles-rows"].collect()) == 300 * (16 + 3 * 64)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -109,3 +109,12 @@ def test_the_whole_volume_curve_keeps_the_newest_bars(spark):
     curve = lambda whole: [r.weight for r in execution.volume_curve(bars, 20, whole=whole).orderBy("slice").collect()]
     assert curve(False) == [1 / 20] * 20
     assert curve(True) == [1 / 39] * 19 + [20 / 39]
+
+
+def test_bb_squeeze_builds_the_bandwidths_once(skewed):
+    from barloom.operators import indicators
+
+    bars, pdf = skewed
+    out = indicators.bb_squeeze(bars)
+    assert "InMemoryTableScan" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.symbol for r in out.collect()} == {"HOT", "A", "B"}
